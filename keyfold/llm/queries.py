@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm import mixing, quality_rules, url_filters
-from keyfold.sources.shared import table
+from keyfold.llm import mixing, packing, quality_rules, token_binary, url_filters, warc
+from keyfold.sources.shared import new_path, store, table
 
 EXPLICIT = [
     ("allow", "org", "/"),
@@ -21,6 +21,38 @@ SHARES = {"src0": 4, "src1": 3, "src2": 3, "src3": 2, "src4": 2}
 BLOCK_DOCS = 16
 
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce(F.encode("html", "utf-8"), F.lit(b"")).alias("payload"))
+    path = new_path(spark, "warc")
+    warc.write_archive(pages, path, "page_id", "url", "payload", min_bytes=0)
+    read = warc.read_archive(spark, path).select(
+        "record_id",
+        "row_id",
+        "warc_type",
+        "refers_to",
+        "complete",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.when(F.col("digest_ok"), warc.sha1_base32(F.col("payload"))).alias("digest"),
+    )
+    d = warc.resolve(store(read, "warc-records"))
+    return d.select(
+        F.col("row_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        F.col("digest").alias("payload_digest"),
+        F.col("warc_type").alias("record_type"),
+        F.col("refers_row").cast("long").alias("refers_to"),
+    )
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages are labelled by ``labels``: quality 0 of the row with the page's id means block."""
     pages = table(spark, sf_dir, "pages")
@@ -29,11 +61,22 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, EXPLICIT, url_filters.mine_rules(labelled.where(F.col("block").isNotNull())))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, capacity=1024)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, SHARES, block_docs=BLOCK_DOCS, columns=["doc_id", "source"])
 
 
+def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    token_binary.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=0)
+    read = store(token_binary.read_tokens(spark, path), "token-documents")
+    return token_binary.with_starts(read).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality_rules.ledger(table(spark, sf_dir, "documents"))
     base = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
@@ -47,7 +90,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_url_filters": op2_url_filters,
+    "op6_packing": op6_packing,
     "op8_mixing": op8_mixing,
+    "op9_token_binary": op9_token_binary,
     "op10_quality_rules": op10_quality_rules,
 }
