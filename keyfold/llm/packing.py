@@ -78,51 +78,46 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> Counter[Bin
     return Counter({kind: n for own in bins.values() for kind, n in own.items()})
 
 
-def local_search(bins: Counter[Bin], capacity: int, max_steps: int = 200_000) -> Counter[Bin]:
+def local_search(bins: Counter[Bin], capacity: int, max_steps: int = 20_000) -> Counter[Bin]:
     """Moves and exchanges between underfull bins until the lower bound or no step raises the squared fill.
 
     ``max_steps`` bounds the driver's time, not the documents: a step treats all
     bins of two kinds at once.
     """
     bins = Counter({tuple(sorted(k, reverse=True)): n for k, n in bins.items()})
-    total = sum(sum(k) * n for k, n in bins.items())
-    least = -(-total // capacity)
+    least = -(-sum(sum(k) * n for k, n in bins.items()) // capacity)
     steps = 0
-    tried: set[Bin] = set()
     while sum(bins.values()) > least and steps < max_steps:
         open_bins = sorted((k for k in bins if sum(k) < capacity), key=sum)
-        holds: dict[int, list[Bin]] = defaultdict(list)  # emptiest first
+        offers: dict[int, list[tuple[Bin, Bin]]] = defaultdict(list)  # (bin, pieces) by size, the emptiest bin first
         for k in open_bins:
-            for x in set(k):
-                holds[x].append(k)
-        lengths = sorted(holds)
-        step = None
+            for out in _choices(k):
+                offers[sum(out)].append((k, out))
+        sizes, gone, moved = sorted(offers), set(), False
         for a in reversed(open_bins):  # the fullest gains first
-            if a in tried:
-                continue
-            step = _improve(a, capacity, holds, lengths, bins)
             steps += 1
+            step = None if a in gone else _improve(a, capacity, offers, sizes, bins, gone)
             if step:
-                break
-            tried.add(a)
-        if not step:
+                b, out_a, out_b = step
+                n = bins[a] // 2 if a == b else min(bins[a], bins[b])
+                for kind, out, into in ((a, out_a, out_b), (b, out_b, out_a)):
+                    bins[kind] -= n
+                    if not bins[kind]:
+                        del bins[kind]
+                    gone.add(kind)  # its offers are no longer what they were
+                    if new := tuple(sorted(_without(kind, out) + into, reverse=True)):
+                        bins[new] += n
+                moved = True
+        if not moved:
             break
-        b, out_a, out_b = step
-        n = bins[a] // 2 if a == b else min(bins[a], bins[b])
-        new_a = tuple(sorted(_without(a, out_a) + out_b, reverse=True))
-        new_b = tuple(sorted(_without(b, out_b) + out_a, reverse=True))
-        for k in (a, b):
-            bins[k] -= n
-        for k in (a, b):
-            if not bins[k]:
-                bins.pop(k, None)
-        bins[new_a] += n
-        if new_b:
-            bins[new_b] += n
-        tried.clear()
     return bins
 
 
+def _choices(kind: Bin) -> list[Bin]:
+    """One or two pieces of a bin, each choice of lengths once."""
+    return list(dict.fromkeys([(x,) for x in kind] + [(x, y) for i, x in enumerate(kind) for y in kind[i + 1 :]]))
+
+
 def _without(kind: Bin, out: Bin) -> Bin:
     rest = list(kind)
     for x in out:
@@ -130,22 +125,24 @@ def _without(kind: Bin, out: Bin) -> Bin:
     return tuple(rest)
 
 
-def _improve(a: Bin, capacity: int, holds: dict[int, list[Bin]], lengths: list[int], bins: Counter[Bin]):
-    """(b, pieces a gives, pieces b gives): the step that fills ``a`` most, from a bin that is no fuller."""
+def _improve(a: Bin, capacity: int, offers: dict[int, list[tuple[Bin, Bin]]], sizes: list[int], bins: Counter[Bin], gone: set[Bin]):
+    """(b, pieces a gives, pieces b gives): the step that fills ``a`` most, at the cost of a bin that raises the squared fill.
+
+    Moves give nothing back; exchanges are one for one, two for one or one for two.
+    """
     gap, fill = capacity - sum(a), sum(a)
     best, best_gain = None, 0
-    gives: list[Bin] = [(), *((x,) for x in sorted(set(a)))]
-    gives += [(x, y) for i, x in enumerate(a) for y in a[i + 1 :]]
-    for out in dict.fromkeys(gives):
+    for out in [(), *_choices(a)]:
         size = sum(out)
-        at = bisect_left(lengths, size + gap + 1) - 1
-        while at >= 0 and lengths[at] - size > best_gain:
-            x = lengths[at]
-            b = next((k for k in holds[x] if k != a or bins[a] > 1), None)
-            gain = x - size
-            if b is not None and fill + gain > sum(b):
-                best, best_gain = (b, tuple(out), (x,)), gain
-                break
+        at = bisect_left(sizes, size + gap + 1) - 1
+        while at >= 0 and sizes[at] - size > best_gain:
+            gain = sizes[at] - size
+            for b, own in offers[sizes[at]]:
+                if fill + gain <= sum(b):
+                    break  # fuller bins follow
+                if b not in gone and (b != a or bins[a] > 1) and len(out) + len(own) < 4:
+                    best, best_gain = (b, out, own), gain
+                    break
             at -= 1
         if best_gain == gap:
             break
