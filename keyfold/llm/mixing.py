@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 MAX_PERIOD = 10_000
 MAX_SOURCES = 1_000
 MAX_CELLS = 200_000
-PREFIX = 3
+#: Documents of a source in one hash-prefix bucket, about; the prefix has one to four digits.
+BUCKET_DOCS = 2_000
 
 
 def edf_template(shares: list[int]) -> list[int]:
@@ -95,16 +96,19 @@ def mix(
     kept = columns or docs.columns
     digest = F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit("~"))
     d = docs.select(*kept, index.alias("__src"), digest.alias("__h"), F.col(id_col).alias("__id"))
-    d = d.withColumn("__p", F.substring("__h", 1, PREFIX))
+    sizes = {r[0]: r[1] for r in d.groupBy("__src").count().collect()}  # a row a source
+    digits, room = 1, 16 * BUCKET_DOCS
+    while room < max(sizes.values(), default=0) and digits < 4:
+        digits, room = digits + 1, room * 16
+    d = d.withColumn("__p", F.substring("__h", 1, digits))
     counts = d.groupBy("__src", "__p").agg(F.count(F.lit(1)).alias("__n"))
     by_source = W.partitionBy("__src").orderBy("__p")
     counts = counts.select(
         "__src", "__p", (F.sum("__n").over(by_source.rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__before")
-    )  # at most 4097 rows a source
-    sizes = {r[0]: r[1] for r in d.groupBy("__src").count().collect()}  # a row a source
+    )  # at most 65537 rows a source
     n = [sizes.get(i, 0) for i in range(len(k))]
     inside = F.row_number().over(W.partitionBy("__src", "__p").orderBy("__h", F.col("__id").asc_nulls_last()))
-    d = d.withColumn("__in", inside).join(F.broadcast(counts), ["__src", "__p"])
+    d = d.withColumn("__in", inside).join(counts, ["__src", "__p"])
     rank = F.col("__before") + F.col("__in") - 1
     d = d.withColumn("__rank", rank)
     block = F.expr(f"__rank div {block_docs}")
