@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm import mixing, packing, quality_rules, token_binary, url_filters, warc
+from keyfold.llm import mixing, packing, quality_rules, simhash, token_binary, toxicity, url_filters, warc
+from keyfold.llm.labels import held_out
 from keyfold.sources.shared import new_path, store, table
 
 EXPLICIT = [
@@ -61,10 +62,22 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, EXPLICIT, url_filters.mine_rules(labelled.where(F.col("block").isNotNull())))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, usable=~held_out(F.col("id"), 3, 1))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, capacity=1024)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, SHARES, block_docs=BLOCK_DOCS, columns=["doc_id", "source"])
@@ -92,7 +105,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_url_filters": op2_url_filters,
+    "op3_toxicity": op3_toxicity,
     "op6_packing": op6_packing,
+    "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
     "op9_token_binary": op9_token_binary,
     "op10_quality_rules": op10_quality_rules,
