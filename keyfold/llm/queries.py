@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm import mixing, packing, quality_rules, simhash, token_binary, toxicity, url_filters, warc
+from keyfold.llm import (
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    token_binary,
+    toxicity,
+    url_filters,
+    vector_dedup,
+    warc,
+)
 from keyfold.llm.labels import held_out
 from keyfold.sources.shared import new_path, store, table
 
@@ -70,6 +81,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = store(quality_classifier.measure(table(spark, sf_dir, "documents")), "quality-statistics")
+    model = quality_classifier.fit(measured, table(spark, sf_dir, "labels"), usable=~held_out(F.col("id"), 5, 0))
+    return quality_classifier.score(measured, model).select(
+        "doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, capacity=1024)
 
@@ -106,6 +129,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_url_filters": op2_url_filters,
     "op3_toxicity": op3_toxicity,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_vector_dedup": op5_vector_dedup,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
