@@ -131,3 +131,8 @@ def mix(
     blocks = [-(-x // block_docs) for x in n]
     horizon = min((b // s) * period + own[i][b % s] for i, (b, s) in enumerate(zip(blocks, k)))
     return d.select(*kept, "mix_slot", position.alias("mix_position"), (F.col("mix_slot") < horizon).alias("mix_on_target"))
+
+
+def in_order(docs: DataFrame, shares: dict[str, int], block_docs: int = 16, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """``docs`` sorted by their position in the mix, so that written files follow it."""
+    return mix(docs, shares, block_docs=block_docs, id_col=id_col, source_col=source_col).orderBy("mix_position").select(docs.columns)

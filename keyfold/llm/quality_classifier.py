@@ -130,3 +130,16 @@ def score(measured: DataFrame, model: Model, id_col: str = "doc_id") -> DataFram
             yield pa.record_batch([b.column(0), pa.array(model.scores(x))], ["id", "score"])
 
     return measured.select(F.col(id_col), "statistics").mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+
+
+def filtered(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, in one pass without a join."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.array([statistics(t) for t in b.column(at).to_pylist()])
+                yield b.filter(pa.array(model.scores(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -31,6 +31,7 @@ EXPLICIT = [
 ]
 SHARES = {"src0": 4, "src1": 3, "src2": 3, "src3": 2, "src4": 2}
 BLOCK_DOCS = 16
+QUALITY_THRESHOLD = 0.3
 
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -53,7 +54,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "refers_to",
         "complete",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.when(F.col("digest_ok"), warc.sha1_base32(F.col("payload"))).alias("digest"),
+        F.when(F.col("digest_ok"), F.substring_index("payload_digest", ":", -1)).alias("digest"),
     )
     d = warc.resolve(store(read, "warc-records"))
     return d.select(
@@ -85,7 +86,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = store(quality_classifier.measure(table(spark, sf_dir, "documents")), "quality-statistics")
     model = quality_classifier.fit(measured, table(spark, sf_dir, "labels"), usable=~held_out(F.col("id"), 5, 0))
     return quality_classifier.score(measured, model).select(
-        "doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+        "doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted")
     )
 
 

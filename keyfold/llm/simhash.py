@@ -84,3 +84,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_
     return fps.join(of_fp, "fp").select(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the smallest id of each group, once; rows with a null id cannot be named and all stay."""
+    found = near_duplicates(docs, shingle_words, id_col, text_col)
+    keep = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    return docs.join(keep, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
