@@ -11,25 +11,28 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
 import numpy as np
 from tokenizers import Tokenizer
 
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNITS = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-_IS_SPACE = re.compile(f"[{SPACES}]")
+_SPACE_SET = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACES}]", c))
 #: The byte-level pre-tokenizer's pattern over ASCII.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: ASCII bytes outside ``!`` to ``~`` stand for themselves shifted by 256, in order.
 _ALPHABET = {b: 256 + i for i, b in enumerate([*range(33), 127])}
 
+_SPACE_BYTE = chr(256 + 32)
+
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, max_entries: int = 300_000):
+    def __init__(self, path: str, max_entries: int = 800_000, max_pieces: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
@@ -43,30 +46,31 @@ class Encoder:
             and spec["model"]["type"] == "BPE"
             and not spec["model"].get("dropout")
         )
-        self.max_entries = max_entries
+        self.max_entries, self.max_pieces = max_entries, max_pieces
         self.after_space: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def _unit(self, unit: str) -> bytes:
-        found = self.units.get(unit)
+    def _piece(self, part: str) -> bytes:
+        """Ids of one pre-token in the byte alphabet."""
+        found = self.pieces.get(part)
         if found is None:
-            if unit.isascii():
-                parts = [x.translate(_ALPHABET) for x in _ASCII.findall(unit)]
-            else:
-                parts = [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(unit)]
-            out = []
-            for part in parts:
-                ids = self.pieces.get(part)
-                if ids is None:
-                    ids = np.array([x.id for x in self.tokenizer.model.tokenize(part)], "<u4").tobytes()
-                    if len(self.pieces) >= self.max_entries:
-                        self.pieces.clear()
-                    self.pieces[part] = ids
-                out.append(ids)
-            found = b"".join(out)
+            ids = [x.id for x in self.tokenizer.model.tokenize(part)]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self.pieces) >= self.max_pieces:
+                self.pieces.clear()
+            self.pieces[part] = found
         return found
 
+    def _unit(self, unit: str) -> bytes:
+        if not unit.isascii():
+            return b"".join([self._piece(x) for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(unit)])
+        return b"".join([self._piece(x.translate(_ALPHABET)) for x in _ASCII.findall(unit)])
+
+    def _after_space(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self._piece(_SPACE_BYTE + word)
+        return self._unit(" " + word)
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
@@ -76,7 +80,7 @@ class Encoder:
         words = text.split(" ")
         first = words[0]
         known = self.after_space
-        if first and not _IS_SPACE.match(first[-1]):
+        if first and first[-1] not in _SPACE_SET:
             del words[0]
             while True:
                 try:
@@ -85,10 +89,10 @@ class Encoder:
                     if len(known) >= self.max_entries:
                         known.clear()
                     missing = set(words).difference(known)
-                    if any(not w or _IS_SPACE.match(w[0]) or _IS_SPACE.match(w[-1]) for w in missing):
+                    if any(not w or w[0] in _SPACE_SET or w[-1] in _SPACE_SET for w in missing):
                         break  # a run of spaces crosses a cut
                     for w in missing:
-                        known[w] = self._unit(" " + w)
+                        known[w] = self._after_space(w)
         return b"".join(map(self._unit, _UNITS.findall(text)))
 
 
