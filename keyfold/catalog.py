@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from keyfold.queries import feeds, windows
+
+QUERIES = feeds.QUERIES | windows.QUERIES
+SQL = feeds.SQL | windows.SQL
