@@ -83,7 +83,7 @@ def _paged(spark, sf_dir):
 
 
 def window_watermark_paged(spark, sf_dir):
-    return _out(_paged(spark, sf_dir), "emit_page", "revision")
+    return _out(_paged(spark, sf_dir), "emit_page", F.col("revision").cast("long").alias("revision"))
 
 
 def window_pane_totals(spark, sf_dir):
