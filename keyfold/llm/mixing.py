@@ -16,7 +16,8 @@ task holds a whole source.
 Defined results: a null source is a source of its own (share ``default_share``);
 null ids come last in their bucket; repeated rows each get a position of their
 own; an empty table gives an empty result; other columns are carried along
-unless ``columns`` names those to keep.
+unless ``columns`` names those to keep, and one of an added column's name is
+replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ MAX_PERIOD = 10_000
 MAX_SOURCES = 1_000
 MAX_CELLS = 200_000
 #: Documents of a source in one hash-prefix bucket, about; the prefix has one to four digits.
-BUCKET_DOCS = 2_000
+BUCKET_DOCS = 500
+ADDED = ("mix_slot", "mix_position", "mix_on_target")
 
 
 def edf_template(shares: list[int]) -> list[int]:
@@ -93,9 +95,10 @@ def mix(
     if lookup:
         at = F.array_position(F.array(*[F.lit(x) for x in lookup]), F.col(source_col))
         index = F.when(F.col(source_col).isNull(), index).otherwise((at - 1).cast("int"))
-    kept = columns or docs.columns
+    kept = [c for c in columns or docs.columns if c not in ADDED]
     digest = F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit("~"))
-    d = docs.select(*kept, index.alias("__src"), digest.alias("__h"), F.col(id_col).alias("__id"))
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row")
+    d = docs.select(row, index.alias("__src"), digest.alias("__h"), F.col(id_col).alias("__id"))
     sizes = {r[0]: r[1] for r in d.groupBy("__src").count().collect()}  # a row a source
     digits, room = 1, 16 * BUCKET_DOCS
     while room < max(sizes.values(), default=0) and digits < 4:
@@ -130,7 +133,7 @@ def mix(
     position = F.aggregate(filled, F.lit(0).cast("long"), lambda a, x: a + x) + F.col("__rank") % block_docs
     blocks = [-(-x // block_docs) for x in n]
     horizon = min((b // s) * period + own[i][b % s] for i, (b, s) in enumerate(zip(blocks, k)))
-    return d.select(*kept, "mix_slot", position.alias("mix_position"), (F.col("mix_slot") < horizon).alias("mix_on_target"))
+    return d.select("__row.*", "mix_slot", position.alias("mix_position"), (F.col("mix_slot") < horizon).alias("mix_on_target"))
 
 
 def in_order(docs: DataFrame, shares: dict[str, int], block_docs: int = 16, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
