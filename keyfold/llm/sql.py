@@ -96,4 +96,27 @@ b AS (
 SELECT *, failure_bits & 3 <> 0 AS base_failed, failure_bits & 15 = 0 AS kept FROM b
 """
 
-SQL: dict[str, str] = {"op2_url_filters": OP2, "op8_mixing": OP8, "op10_quality_rules": OP10}
+OP1 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS hex FROM p),
+d AS (
+  SELECT page_id, payload_bytes, hex, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::INT >> (15 - 5 * (i % 4)::INT)) & 31), 1)), '') AS payload_digest,
+    max(page_id) OVER (PARTITION BY hex, payload_bytes) AS keeper FROM h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM d
+"""
+
+OP5 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+r(u, w) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.u, e.w FROM r JOIN e ON r.w = e.u),
+c AS (SELECT u, min(w) AS component_id FROM r GROUP BY u),
+n AS (SELECT u, count(*) AS n_links FROM e GROUP BY u)
+SELECT m.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, coalesce(c.component_id, m.vec_id) AS component_id, coalesce(c.component_id, m.vec_id) = m.vec_id AS kept
+FROM embeddings m LEFT JOIN c ON c.u = m.vec_id LEFT JOIN n ON n.u = m.vec_id
+"""
+
+SQL: dict[str, str] = {"op1_warc": OP1, "op5_vector_dedup": OP5, "op2_url_filters": OP2, "op8_mixing": OP8, "op10_quality_rules": OP10}
