@@ -139,3 +139,19 @@ def batch_ewma(samples: DataFrame, by: str, order: str, value: str, weight: floa
         lambda a, x: a * weight + x[value] * (1 - weight),
     )
     return ordered.select(by, fold.alias("ewma"))
+
+
+def telemetry(samples: DataFrame, ids: list[str], counters: list[str], order: str) -> DataFrame:
+    """Sums and latest values of counters per id: partial aggregates only."""
+    sums = [F.sum(c).alias(f"{c}_total") for c in counters]
+    last = [F.max_by(c, order).alias(f"{c}_last") for c in counters]
+    return samples.groupBy(*ids).agg(F.count(F.lit(1)).alias("samples"), *sums, *last)
+
+
+def pressure_runs(samples: DataFrame, by: str, order: str, pressed: Column, n: int) -> DataFrame:
+    """(by, started, length) of unbroken runs of at least ``n`` pressed samples: where a split or merge becomes due."""
+    w = W.partitionBy(by).orderBy(order)
+    d = samples.withColumns({"__p": F.coalesce(pressed, F.lit(False)), "__nth": F.row_number().over(w)})
+    d = d.where("__p").withColumn("__run", F.col("__nth") - F.row_number().over(w))
+    runs = d.groupBy(by, "__run").agg(F.min(order).alias("started"), F.count(F.lit(1)).alias("length"))
+    return runs.where(F.col("length") >= n).select(by, "started", "length")

@@ -103,3 +103,22 @@ def subscription_findings(owners: DataFrame, live: DataFrame) -> DataFrame:
         .when(F.col("paused"), F.struct(F.lit("advisory").alias("s"), F.lit("paused").alias("r")))
     )
     return d.withColumn("f", severity).where("f is not null").select("subscription", F.col("f")["s"].alias("severity"), F.col("f")["r"].alias("reason"))
+
+
+def tier_of(segments: DataFrame, now_ns: int, tier_after_ns: int) -> DataFrame:
+    """Where each segment stands: open ones stay, sealed ones move once older than the delay."""
+    old = F.col("last_ingest_ns") + tier_after_ns <= now_ns
+    return segments.withColumn("tier", F.when(~F.col("sealed"), "open").when(old, "move").otherwise("deferred"))
+
+
+def copy_lag(source: DataFrame, copied: DataFrame, key: list[str], stalled_after: int) -> DataFrame:
+    """(feed, lag, state): records of the source that the copy lacks."""
+    missing = source.join(copied.select(*key), key, "left_anti").groupBy("feed").agg(F.count(F.lit(1)).alias("missing"))
+    d = source.select("feed").distinct().join(missing, "feed", "left").withColumn("lag", F.coalesce("missing", F.lit(0)))
+    state = F.when(F.col("lag") == 0, "current").when(F.col("lag") > stalled_after, "stalled").otherwise("behind")
+    return d.select("feed", "lag", state.alias("state"))
+
+
+def source_block(names: DataFrame) -> DataFrame:
+    """A feed's short name (last segment) beside its full name."""
+    return names.withColumn("short_name", F.element_at(F.split("feed", r"\."), -1))

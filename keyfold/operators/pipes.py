@@ -14,7 +14,9 @@ from keyfold.functions import typed
 from keyfold.functions.ordering import with_running_max
 from keyfold.plans.declarations import Miss, WindowPipe
 
-LATE, KEY_CAP = -1, -2
+LATE, KEY_CAP, BYTE_CAP = -1, -2, -4
+#: Bytes of a stored row beside its group: length, pane and accumulator.
+ROW_BYTES = 4 + 8 + 26
 
 
 def forward(feed: DataFrame, where: Column | None = None) -> DataFrame:
@@ -44,29 +46,62 @@ def _admitted(d: DataFrame, limit_keys: int) -> DataFrame:
     return d.select("g").distinct().orderBy("g").limit(limit_keys).withColumn("__ok", F.lit(True))
 
 
+def _within_bytes(d: DataFrame, limit_bytes: int) -> DataFrame:
+    """(g, row_pane) of the rows that fit ``limit_bytes`` (at most 256 KiB) in the order they are first seen.
+
+    The first refusal falls among the first ``limit / ROW_BYTES`` rows, which
+    the driver adds up; after it only rows smaller than the rest still fit, and
+    each of these few is looked up.
+    """
+    cost = F.octet_length(typed.key_bytes(F.col("g"))).cast("long") + (1 + ROW_BYTES)
+    rows = d.groupBy("g", "row_pane").agg(F.min("pos").alias("first_pos")).withColumn("cost", cost)
+    order = ["first_pos", "g", "row_pane"]
+    fitting, left, last = [], limit_bytes, None
+    for r in rows.orderBy(*order).limit(limit_bytes // ROW_BYTES + 1).collect():
+        last = r
+        if r["cost"] > left:
+            break
+        fitting.append((r["g"], r["row_pane"]))
+        left -= r["cost"]
+    while last is not None:
+        later = rows.where((F.col("first_pos") > last["first_pos"]) & (F.col("cost") <= left))
+        last = later.orderBy(*order).first() if left > ROW_BYTES else None
+        if last is not None:
+            fitting.append((last["g"], last["row_pane"]))
+            left -= last["cost"]
+    return d.sparkSession.createDataFrame(fitting, f"g {typed.TYPE}, row_pane long").withColumn("__fits", F.lit(True))
+
+
+def _cap_row(refused: DataFrame, name: str, posting: int) -> DataFrame:
+    d = refused.agg(F.count(F.lit(1)).alias("count")).where("count > 0")
+    return d.select(
+        F.lit(typed.TEXT).cast("tinyint").alias("group_tag"), F.lit(name).alias("group_value"), F.lit(-1).cast("long").alias("pane"),
+        F.lit(posting).alias("posting"), "count", F.lit(0).cast("decimal(38,0)").alias("sum"),
+    )
+
+
 def window(feed: DataFrame, pipe: WindowPipe) -> DataFrame:
-    """One fold of the whole feed: pane rows, late rows (posting -1) and the key-cap row (posting -2)."""
+    """One fold of the whole feed: pane rows, late rows (posting -1), key-cap (-2) and byte-cap (-4) rows.
+
+    A byte limit needs ``pos``, as rows are admitted in delivery order.
+    """
     d = _projected(feed, pipe)
     parts = []
     if pipe.limit_keys:
         d = d.join(F.broadcast(_admitted(d, pipe.limit_keys)), "g", "left")
-        refused = d.where(F.col("__ok").isNull()).agg(F.count(F.lit(1)).alias("count")).where("count > 0")
-        parts.append(
-            refused.select(
-                F.lit(typed.TEXT).cast("tinyint").alias("group_tag"),
-                F.lit("__keycap__").alias("group_value"),
-                F.lit(-1).cast("long").alias("pane"),
-                F.lit(KEY_CAP).alias("posting"),
-                "count",
-                F.lit(0).cast("decimal(38,0)").alias("sum"),
-            )
-        )
+        parts.append(_cap_row(d.where(F.col("__ok").isNull()), "__keycap__", KEY_CAP))
         d = d.where(F.col("__ok"))
     late = F.lit(False)
     if pipe.clock == "event" and pipe.max_late_ns is not None:
         late = F.col("ingest_time_ns") - F.col("event_time_ns") > pipe.max_late_ns
-        parts.append(_folded(d.where(late), LATE, F.lit(-1).cast("long"), F.lit(0)))
     usable = F.col("value")["tag"] == typed.I64
+    if pipe.limit_bytes:
+        d = d.where(late | usable).withColumn("row_pane", F.when(late, -1).otherwise(F.col("pane")).cast("long"))
+        d = d.join(F.broadcast(_within_bytes(d, pipe.limit_bytes)), ["g", "row_pane"], "left")
+        parts.append(_cap_row(d.where(F.col("__fits").isNull()), "__bytecap__", BYTE_CAP))
+        d = d.where(F.col("__fits"))
+    if pipe.clock == "event" and pipe.max_late_ns is not None:
+        parts.append(_folded(d.where(late), LATE, F.lit(-1).cast("long"), F.lit(0)))
     out = _folded(d.where(~late & usable), 0, F.col("pane"), F.col("value")["i"])
     for part in parts:
         out = out.unionByName(part)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyfold.functions import typed
-from keyfold.operators import demand, governance
+from keyfold.operators import demand, governance, indexes, reads, subscriptions
 from keyfold.sources.feeds import FEED_SQL, events_feed, positioned
 from keyfold.sources.shared import table
 
@@ -132,13 +132,71 @@ def _findings(spark, sf_dir):
     return d
 
 
+def tier_states(spark, sf_dir):
+    d = _segments(spark, sf_dir).withColumn("sealed", F.col("seq") % 4 != 0)
+    return governance.tier_of(d, CUT, 30 * DAY).select("seq", "tier")
+
+
+def copy_lags(spark, sf_dir):
+    src = _segments(spark, sf_dir).select("feed", "seq")
+    return governance.copy_lag(src, src.where("seq % 10 <> 3 and feed <> 'feed.O1' or feed = 'feed.P2'"), ["feed", "seq"], 20)
+
+
+def telemetry_rollup(spark, sf_dir):
+    d = events_feed(spark, sf_dir).select("event_type", "event_id", "cents")
+    return demand.telemetry(d, ["event_type"], ["cents"], "event_id")
+
+
+def split_pressure(spark, sf_dir):
+    d = events_feed(spark, sf_dir).groupBy("event_type", F.expr("event_time_ns div 3600000000000").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    return demand.pressure_runs(d, "event_type", "hour", F.col("n") % 3 != 0, 3)
+
+
+def adaptive_batches(spark, sf_dir):
+    d = events_feed(spark, sf_dir).select("event_type", "event_id", "cents")
+    return demand.batch_ewma(d, "event_type", "event_id", "cents")
+
+
+def range_map_gaps(spark, sf_dir):
+    d = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("range_id"), F.format_string("%03d", "n_nationkey").alias("start"), F.format_string("%03d", F.col("n_nationkey") + F.when(F.col("n_nationkey") % 6 == 5, 2).otherwise(1)).alias("end"))
+    return demand.range_gaps(d).select("range_id", "end", "next_start")
+
+
+def feed_names(spark, sf_dir):
+    d = table(spark, sf_dir, "nation").select(F.concat(F.lit("shop.r"), "n_regionkey", F.lit(".n"), "n_nationkey").alias("feed"))
+    d = governance.source_block(d)
+    return d.select("feed", "short_name", reads.matches_pattern(F.col("feed"), "shop.r1.*").alias("in_r1"), reads.matches_pattern(F.col("feed"), "shop.r1").alias("is_r1"))
+
+
+def index_usage(spark, sf_dir):
+    modes = F.element_at(F.array(F.lit("exact"), F.lit("prefix"), F.lit("range")), (F.col("event_id") % 3 + 1).cast("int"))
+    d = events_feed(spark, sf_dir).select(F.col("event_type").alias("index"), modes.alias("mode"), (F.col("cents") > 9000).alias("truncated"), (F.col("event_id") % 50 == 0).alias("behind"))
+    return indexes.usage(d)
+
+
+def position_sets(spark, sf_dir):
+    d = table(spark, sf_dir, "customer").select("c_custkey", F.array(F.col("c_custkey") % 7, F.col("c_custkey") % 5).alias("held"), F.array(F.lit(9).cast("long"), F.col("c_custkey") % 3).alias("added"), F.array(F.col("c_custkey") % 2).alias("removed"))
+    return subscriptions.set_changes(d).select("c_custkey", F.array_join("held", ",").alias("held"))
+
+
+def diagnostics_nodes(spark, sf_dir):
+    d = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.when(F.col("s_suppkey") % 3 == 0, F.array(F.lit("draining"))).when(F.col("s_suppkey") % 3 == 1, F.array(F.lit("capacity unknown"), F.lit("retired"))).otherwise(F.array().cast("array<string>")).alias("exclusions"))
+    return governance.node_findings(d)
+
+
+def diagnostics_subscriptions(spark, sf_dir):
+    d = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("subscription"), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_nationkey")).alias("owner"), (F.col("s_suppkey") % 3 == 0).alias("paused"))
+    live = table(spark, sf_dir, "nation").where("n_regionkey <> 0").select(F.col("n_nationkey").alias("owner"), (F.col("n_regionkey") != 1).alias("alive"))
+    return governance.subscription_findings(d, live)
+
+
 COUNTS = f"""{WITH}, c AS (
   SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY first_pos) <= 100 AS tracked FROM (
     SELECT ingest_time_ns // {DAY} AS window_id, substr(sha256('u' || user_id), 1, 32) AS token, count(*) AS n, min(pos) AS first_pos, sum(strlen(payload))::BIGINT AS bytes FROM feed GROUP BY 1, 2))"""
 FINDINGS = """WITH f AS (SELECT s_suppkey AS finding_id, ['nodes', 'writers', 'readers'][s_suppkey % 3 + 1] AS stage, s_suppkey % 3 + 1 AS stage_order,
   s_nationkey % 4 + CASE WHEN s_suppkey % 3 = 1 THEN 2 ELSE 1 END AS sev, ['healthy', 'advisory', 'limited', 'degraded', 'unhealthy'] AS names FROM supplier)"""
 
-QUERIES = {f.__name__: f for f in (demand_rollup, demand_topk, demand_weighted_median, demand_isolation, demand_baseline, hot_key_flags, range_route, retry_delays, retention_delete_set, policy_effective, access_decisions, signals_scoped, diagnostics_explain, diagnostics_recommend)}
+QUERIES = {f.__name__: f for f in (demand_rollup, demand_topk, demand_weighted_median, demand_isolation, demand_baseline, hot_key_flags, range_route, retry_delays, retention_delete_set, policy_effective, access_decisions, signals_scoped, diagnostics_explain, diagnostics_recommend, tier_states, copy_lags, telemetry_rollup, split_pressure, adaptive_batches, range_map_gaps, feed_names, index_usage, position_sets, diagnostics_nodes, diagnostics_subscriptions)}
 SQL = {
     "demand_rollup": f"{COUNTS} SELECT window_id AS window, token, n, bytes, tracked FROM c",
     "demand_topk": f"{COUNTS}, t AS (SELECT *, sum(n) OVER (PARTITION BY window_id) AS total FROM c) SELECT window_id AS window, row_number() OVER (PARTITION BY window_id ORDER BY n DESC, token) AS rank, token, n, least(n * 10000 // total, 10000)::BIGINT AS share_bp FROM t WHERE tracked QUALIFY rank <= 8",
@@ -166,4 +224,15 @@ SQL = {
       SELECT signal_id, scope, scope_rank, greatest((SELECT count(*) FROM r) - 128, 0) AS truncated FROM r ORDER BY scope_rank, at_ns DESC NULLS LAST, signal_id LIMIT 128""",
     "diagnostics_explain": f"{FINDINGS} SELECT s.stage, ['healthy', 'advisory', 'limited', 'degraded', 'unhealthy'][coalesce(max(sev), 1)] AS status, least(count(sev), 64) AS findings FROM (VALUES ('control plane'), ('nodes'), ('writers'), ('readers')) s(stage) LEFT JOIN f USING (stage) GROUP BY 1",
     "diagnostics_recommend": f"{FINDINGS} SELECT row_number() OVER (ORDER BY sev DESC, stage_order, finding_id) AS rank, finding_id, stage, names[sev] AS severity FROM f QUALIFY rank <= 16",
+    "tier_states": f"SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 4 = 0 THEN 'open' WHEN epoch_us(o_orderdate) * 1000 + {30 * DAY} <= {CUT} THEN 'move' ELSE 'deferred' END AS tier FROM orders",
+    "copy_lags": "WITH s AS (SELECT 'feed.' || o_orderstatus || (o_custkey % 7) AS feed, o_orderkey AS seq FROM orders), l AS (SELECT feed, count(*) FILTER (NOT (seq % 10 <> 3 AND feed <> 'feed.O1' OR feed = 'feed.P2')) AS lag FROM s GROUP BY feed) SELECT feed, lag, CASE WHEN lag = 0 THEN 'current' WHEN lag > 20 THEN 'stalled' ELSE 'behind' END AS state FROM l",
+    "telemetry_rollup": f"{WITH} SELECT event_type, count(*) AS samples, sum(cents)::BIGINT AS cents_total, arg_max(cents, event_id) AS cents_last FROM feed GROUP BY 1",
+    "split_pressure": f"{WITH}, h AS (SELECT event_type, event_time_ns // 3600000000000 AS hour, count(*) AS n FROM feed GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY hour) AS nth FROM h), r AS (SELECT *, nth - row_number() OVER (PARTITION BY event_type ORDER BY hour) AS run FROM p WHERE n % 3 <> 0) SELECT event_type, min(hour) AS started, count(*) AS length FROM r GROUP BY event_type, run HAVING count(*) >= 3",
+    "adaptive_batches": f"{WITH} SELECT event_type, list_reduce(list(cents::DOUBLE ORDER BY event_id), lambda a, x: a * 0.8::DOUBLE + x * (1 - 0.8::DOUBLE)) AS ewma FROM feed GROUP BY 1",
+    "range_map_gaps": "WITH r AS (SELECT n_nationkey AS range_id, lpad(n_nationkey::VARCHAR, 3, '0') AS s, lpad((n_nationkey + CASE WHEN n_nationkey % 6 = 5 THEN 2 ELSE 1 END)::VARCHAR, 3, '0') AS e FROM nation), l AS (SELECT range_id, e, lead(s) OVER (ORDER BY s) AS nx FROM r) SELECT range_id, e AS \"end\", nx AS next_start FROM l WHERE nx IS NOT NULL AND nx <> e",
+    "feed_names": "SELECT 'shop.r' || n_regionkey || '.n' || n_nationkey AS feed, 'n' || n_nationkey AS short_name, n_regionkey = 1 AS in_r1, false AS is_r1 FROM nation",
+    "index_usage": f"{WITH} SELECT event_type AS \"index\", ['exact', 'prefix', 'range'][event_id % 3 + 1] AS mode, count(*) AS lookups, count(*) FILTER (cents > 9000) AS truncated, count(*) FILTER (event_id % 50 = 0) AS behind FROM feed GROUP BY 1, 2",
+    "position_sets": "SELECT c_custkey, array_to_string(list_sort(list_filter(list_distinct([c_custkey % 7, c_custkey % 5, 9, c_custkey % 3]), lambda x: x <> c_custkey % 2)), ',') AS held FROM customer",
+    "diagnostics_nodes": "SELECT s_suppkey AS node, CASE WHEN x IN ('draining', 'retired') THEN 'advisory' ELSE 'degraded' END AS severity, x AS reason FROM (SELECT s_suppkey, unnest(CASE s_suppkey % 3 WHEN 0 THEN ['draining'] WHEN 1 THEN ['capacity unknown', 'retired'] ELSE [] END) AS x FROM supplier)",
+    "diagnostics_subscriptions": "WITH o AS (SELECT s_suppkey AS subscription, CASE WHEN s_suppkey % 4 <> 0 THEN s_nationkey END AS owner, s_suppkey % 3 = 0 AS paused FROM supplier), f AS (SELECT subscription, CASE WHEN owner IS NULL THEN ['degraded', 'no owner'] WHEN n_regionkey = 1 THEN ['degraded', 'owner dead'] WHEN n_regionkey IS NULL THEN ['advisory', 'owner unknown'] WHEN paused THEN ['advisory', 'paused'] END AS x FROM o LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 0) ON owner = n_nationkey) SELECT subscription, x[1] AS severity, x[2] AS reason FROM f WHERE x IS NOT NULL",
 }

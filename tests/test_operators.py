@@ -62,6 +62,23 @@ def test_revisions_carry_only_new_rows(spark):
     assert totals["a", 0] == (2, 15)
 
 
+def test_byte_cap_equals_a_plain_fold(spark):
+    rng = __import__("random").Random(1)
+    data = [(rng.choice(["a", "bb", "a" * 30, "c" * 9]) + str(rng.randrange(6)), 1, rng.randrange(8), rng.randrange(8, 12)) for _ in range(300)]
+    for limit in (39, 150, 600, 1500):
+        got = panes(pipes.window(records(spark, data), WindowPipe("customer", 16 * S, max_late_ns=5 * S, limit_bytes=limit)))
+        left, rows, refused = limit, {}, 0
+        for c, _, e, t in data:
+            late = t - e > 5
+            row = (c, -1 if late else e, -1 if late else 0)
+            if row not in rows and 4 + 1 + len(c) + 8 + 26 > left:
+                refused += 1
+                continue
+            left -= 0 if row in rows else 4 + 1 + len(c) + 8 + 26
+            rows[row] = rows.get(row, 0) + 1
+        assert got == sorted([(*k, n, 0) for k, n in rows.items()] + [("__bytecap__", -1, -4, refused, 0)] * (refused > 0))
+
+
 def test_disposition_order(spark):
     pipe = WindowPipe("customer", 16 * S, max_late_ns=S, expire_ns=10 * S)
     d = pipes.window(records(spark, [("a", 1, 0, 0), ("a", 1, 8, 8), ("a", 1, 19, 19)]), pipe)
