@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyfold.sources.shared import store
+
 END = "\r\n\r\n"
 BASE32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -36,35 +38,33 @@ RAW = (
 )
 
 
-def sha1_base32(data: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1: five hex digits are four base-32 digits."""
-    digest = F.sha1(data)
+def base32(digest: Column) -> Column:
+    """A hexadecimal SHA-1 in upper-case base32: five hex digits are four base-32 digits."""
     parts = [F.lpad(F.conv(F.substring(digest, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]
     return F.translate(F.concat(*parts), *BASE32)
 
 
-def _blocks(data: Column, size: Column | int, each) -> Column:
+def _blocks(data: Column, size: int, each) -> Column:
     """``each(part, index)`` of the consecutive parts of ``size`` bytes; at least one part."""
-    last = F.expr("0") if size is None else F.floor((F.greatest(F.octet_length(data), F.lit(1)) - 1) / size)
+    last = F.floor((F.greatest(F.octet_length(data), F.lit(1)) - 1) / size)
     return F.transform(F.sequence(F.lit(0), last.cast("int")), lambda i: each(F.substring(data, i * size + 1, F.lit(size)), i))
 
 
-def decide(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int = 0) -> DataFrame:
+def decide(digests: DataFrame) -> DataFrame:
     """(record_id, refers_to) of the rows that revisit: among equal payloads all but the largest id.
 
-    Works on ids and digests only; a digest's rows are partially aggregated
-    before they meet, and the join back leaves a hot digest to skew handling.
+    ``digests`` holds (id, sha, record_id). A digest's rows are partially
+    aggregated before they meet, and the join back leaves a hot digest to skew
+    handling.
     """
-    d = pages.select(F.col(id_col).alias("id"), F.col(payload_col).alias("p"))
-    d = d.where(F.octet_length("p") >= min_bytes).select("id", sha1_base32(F.col("p")).alias("digest"), record_id(F.col("id"), F.col("p")).alias("record_id"))
-    keeper = d.groupBy("digest").agg(F.max(F.struct("id", "record_id"))["record_id"].alias("refers_to"), F.count(F.lit(1)).alias("n"))
+    keeper = digests.groupBy("sha").agg(F.max(F.struct("id", "record_id"))["record_id"].alias("refers_to"), F.count(F.lit(1)).alias("n"))
     keeper = keeper.where("n > 1").drop("n")
-    return d.join(keeper, "digest").where("record_id <> refers_to").select("record_id", "refers_to").distinct()
+    return digests.join(keeper, "sha").where("record_id <> refers_to").select("record_id", "refers_to").distinct()
 
 
-def record_id(row_id: Column, payload: Column) -> Column:
-    """A URN that follows from the id and the payload."""
-    digest = F.md5(F.concat(F.coalesce(row_id.cast("string"), F.lit("-")), F.lit(" "), F.sha1(payload)).cast("binary"))
+def record_id(row_id: Column, sha: Column) -> Column:
+    """A URN that follows from the id and the payload's digest."""
+    digest = F.md5(F.concat(F.coalesce(row_id.cast("string"), F.lit("-")), F.lit(" "), sha).cast("binary"))
     return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
 
 
@@ -76,20 +76,19 @@ def records(
     min_bytes: int = 0,
     chunk_bytes: int = 8192,
     segment_bytes: int = 65536,
-    partitions: int = 8,
     date: str = "2024-01-01T00:00:00Z",
 ) -> DataFrame:
     """One ``record`` per WARC record, without its closing line breaks."""
-    plain = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("p"))
-    revisits = decide(plain, "id", "p", min_bytes)
-    d = plain.withColumn("record_id", record_id(F.col("id"), F.col("p"))).repartition(partitions, "record_id")
-    d = d.join(revisits, "record_id", "left")
+    plain = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("p")).withColumn("sha", F.sha1("p"))
+    plain = plain.withColumn("record_id", record_id(F.col("id"), F.col("sha")))
+    digests = store(plain.where(F.octet_length("p") >= min_bytes).select("id", "sha", "record_id"), "digests")
+    d = plain.join(decide(digests), "record_id", "left")
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     own = F.concat(
         F.coalesce(F.concat(F.lit("WARC-Target-URI: "), url, F.lit("\r\n")), F.lit("")),
         F.coalesce(F.concat(F.lit("X-Row-Id: "), F.col("id").cast("string"), F.lit("\r\n")), F.lit("")),
         F.lit(f"WARC-Date: {date}\r\nWARC-Payload-Digest: sha1:"),
-        sha1_base32(F.col("p")),
+        base32(F.col("sha")),
         F.lit("\r\nContent-Type: application/http;msgtype=response\r\n"),
     )
     chunk = lambda part, _: F.concat(F.lower(F.hex(F.octet_length(part).cast("long"))), F.lit("\r\n"), part.cast("string"), F.lit("\r\n"))
@@ -130,10 +129,11 @@ def records(
 
 
 def write_archive(pages: DataFrame, path: str, id_col: str, url_col: str, payload_col: str, file_bytes: int = 32 << 20, **options) -> None:
-    """Write gzipped archives of about ``file_bytes`` of payload each below ``path``."""
-    total = pages.agg(F.sum(F.octet_length(payload_col).cast("long") + 512)).first()[0] or 0
-    rows = records(pages, id_col, url_col, payload_col, partitions=max(8, -(-total // file_bytes)), **options)
-    rows.write.option("lineSep", END).option("compression", "gzip").text(path)
+    """Write gzipped archives below ``path``; a file closes after records of about ``file_bytes`` of payload."""
+    n, total = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length(payload_col).cast("long") + 512)).first()
+    each = max(1, file_bytes * n // total) if n else 1
+    rows = records(pages, id_col, url_col, payload_col, **options)
+    rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
 
 
 def _inflated(data: bytes) -> bytes:
@@ -238,7 +238,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     fields = "record_id string, row_id string, warc_type string, target_uri string, payload_digest string, refers_to string, complete boolean, payload binary"
     d = joined.mapInArrow(decode, fields)
-    return d.withColumn("digest_ok", F.col("payload_digest") == F.concat(F.lit("sha1:"), sha1_base32(F.col("payload"))))
+    return d.withColumn("digest_ok", F.col("payload_digest") == F.concat(F.lit("sha1:"), base32(F.sha1("payload"))))
 
 
 def resolve(read: DataFrame) -> DataFrame:
