@@ -61,6 +61,17 @@ def gram_buckets(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray,
     return np.concatenate(found)[order], np.searchsorted(own[order], np.arange(len(words)))
 
 
+def _counts(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.diff(np.append(first, len(grams)))
+
+
+def _by_part(words: list[str], size: int = 20_000) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
+    """(place, words, buckets, firsts) of runs of ``words``, so that memory stays small."""
+    for i in range(0, len(words), size):
+        own = words[i : i + size]
+        yield i, own, *gram_buckets(own)
+
+
 @dataclass
 class Model:
     """Per-bucket contributions (embedding times layer) and the bias of class 1 over class 0."""
@@ -72,7 +83,7 @@ class Model:
     def word_scores(self, words: list[str]) -> np.ndarray:
         grams, first = gram_buckets(words, len(self.contribution))
         sums = np.add.reduceat(self.contribution[grams], first)
-        return sums / np.diff(np.append(first, len(grams)))
+        return sums / _counts(grams, first)
 
 
 def _windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,16 +122,27 @@ def fit(
     if not keep or y[keep].min() == y[keep].max():
         return constant
     y, lengths = y[keep].astype(np.float64), np.array([len(tokens[i]) for i in keep], np.int64)
-    flat = np.concatenate([tokens[i] for i in keep])
-    grams, first = gram_buckets(list(vocabulary))
-    n_grams = np.diff(np.append(first, len(grams)))
-    owner_word = np.repeat(np.arange(len(vocabulary)), n_grams)
     word_docs = np.bincount(np.concatenate([np.unique(tokens[i]) for i in keep]), minlength=len(vocabulary))
-    usual = np.flatnonzero(np.bincount(grams, word_docs[owner_word], BUCKETS) >= min(min_docs, 1 + len(y) // 20))
-    number = np.full(BUCKETS, -1)
+    flat = np.concatenate([tokens[i] for i in keep])
+    del tokens
+    words = list(vocabulary)
+    del vocabulary
+    n_words = len(words)
+    docs_of = np.zeros(BUCKETS)
+    for i, own, grams, first in _by_part(words):
+        docs_of += np.bincount(grams, np.repeat(word_docs[i : i + len(own)], _counts(grams, first)), BUCKETS)
+    usual = np.flatnonzero(docs_of >= min(min_docs, 1 + len(y) // 20))
+    number = np.full(BUCKETS, -1, np.int32)
     number[usual] = np.arange(len(usual))
-    inside = number[grams] >= 0
-    grams, owner_word = number[grams[inside]], owner_word[inside]
+    n_grams, parts, owners = np.zeros(n_words), [], []
+    for i, own, grams, first in _by_part(words):
+        counts = _counts(grams, first)
+        n_grams[i : i + len(own)] = counts
+        inside = number[grams] >= 0
+        parts.append(number[grams[inside]])
+        owners.append(np.repeat(np.arange(i, i + len(own), dtype=np.int32), counts)[inside])
+    grams, owner_word = np.concatenate(parts), np.concatenate(owners)
+    del words, parts, owners
     offset, size, first_window = _windows(lengths)
     doc_of_window = np.repeat(np.arange(len(y)), np.diff(np.append(first_window, len(offset))))
     rng = np.random.default_rng(seed)
@@ -128,10 +150,10 @@ def fit(
     params = [rng.normal(0, 0.1, (len(usual), dims)), rng.normal(0, 0.1, (dims, 2)), np.array([0.0, np.log(share / (1 - share))])]
     emb, layer, bias = params
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    doc_of, target = np.repeat(np.arange(len(y)), lengths), y * (1 - 2 * smoothing) + smoothing
+    doc_of, target = np.repeat(np.arange(len(y), dtype=np.int32), lengths), y * (1 - 2 * smoothing) + smoothing
     for t in range(1, warm_up + rounds + 1):
         c = emb @ (layer[:, 1] - layer[:, 0])
-        word = np.bincount(owner_word, c[grams], len(vocabulary)) / n_grams
+        word = np.bincount(owner_word, c[grams], n_words) / n_grams
         if t <= warm_up:
             picked, owner, part = flat, doc_of, 1.0 / lengths
         else:
@@ -142,7 +164,7 @@ def fit(
             picked, owner, part = flat[at], np.repeat(np.arange(len(y)), size[best]), 1.0 / size[best]
         logit = np.bincount(owner, word[picked], len(y)) * part + bias[1] - bias[0]
         g = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - target) * np.where(y > 0, positive_weight, 1.0) / len(y)
-        word_g = np.bincount(picked, (g * part)[owner], len(vocabulary)) / n_grams
+        word_g = np.bincount(picked, (g * part)[owner], n_words) / n_grams
         c_g = np.bincount(grams, word_g[owner_word], len(usual))
         c_g2 = np.stack([-c_g, c_g], 1)
         grads = [c_g2 @ layer.T + decay / len(y) * emb, emb.T @ c_g2, np.array([-g.sum(), g.sum()])]
@@ -155,7 +177,7 @@ def fit(
     return Model(contribution, float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", usable=None) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", usable=None) -> Model:
     """Fit on at most ``max_rows`` labelled documents. ``usable`` filters the label ids (column ``id``)."""
     y = one_label(labels, label_col, "doc_id")
     if usable is not None:
