@@ -1,6 +1,7 @@
 """Toxicity from subword bags: character n-gram embeddings under a linear softmax.
 
-A word is the mean of the embeddings of its n-grams (with word boundaries), a
+A word is the mean of the embeddings of itself and its n-grams (with word
+boundaries), a
 window the mean of its words; softmax over a linear layer gives its class. A
 document scores as its most toxic window, so a few words count the same in a
 long text as in a short one. Embeddings and layer are trained jointly in numpy,
@@ -32,11 +33,11 @@ from keyfold.llm.labels import one_label
 STRIP = "\"'.,;:!?()[]{}«»“”„…-–—"
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
-WINDOW = 16
+WINDOW = 5
 
 
 def gram_buckets(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the byte n-grams of ``<word>``, all words after one another, and each word's first place."""
+    """Buckets of ``<word>`` and its byte n-grams, all words after one another, and each word's first place."""
     data = [b"<" + w.strip(STRIP).encode("utf-8", "replace") + b">" for w in words]
     sizes = np.array([len(x) for x in data], np.int64)
     flat = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
@@ -52,10 +53,14 @@ def gram_buckets(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray,
         inside = at[: len(h)] + n <= ends[: len(h)]
         found.append((h % np.uint64(buckets)).astype(np.int64)[inside])
         owners.append(owner[: len(h)][inside])
-    # a word too short for the smallest n-gram stands in one bucket of its own length
-    short = np.flatnonzero(sizes < min(GRAMS))
-    found.append(sizes[short] % buckets)
-    owners.append(short)
+    # the word itself: a polynomial over its bytes
+    starts = np.cumsum(sizes) - sizes
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(int(sizes.max(initial=1)), 0x100000001B3, np.uint64))
+        whole = np.add.reduceat((flat + np.uint64(1)) * powers[at - starts[owner]], starts)
+    whole ^= whole >> np.uint64(29)
+    found.append((whole % np.uint64(buckets)).astype(np.int64))
+    owners.append(np.arange(len(data)))
     own = np.concatenate(owners)
     order = np.argsort(own, kind="stable")
     return np.concatenate(found)[order], np.searchsorted(own[order], np.arange(len(words)))
@@ -106,7 +111,7 @@ def fit(
     decay: float = 0.3,
     min_docs: int = 25,
     smoothing: float = 0.02,
-    positive_weight: float = 2.0,
+    positive_weight: float = 3.0,
     seed: int = 0,
 ) -> Model:
     """Train embeddings and layer jointly with Adam over all of ``texts``.
@@ -158,8 +163,8 @@ def fit(
             picked, owner, part = flat, doc_of, 1.0 / lengths
         else:
             window = np.add.reduceat(word[flat], offset) / size
-            order = np.lexsort((-window, doc_of_window))
-            best = order[first_window]
+            top = np.flatnonzero(window == np.maximum.reduceat(window, first_window)[doc_of_window])
+            best = top[np.searchsorted(top, first_window)]
             at = np.repeat(offset[best] - np.cumsum(size[best]) + size[best], size[best]) + np.arange(size[best].sum())
             picked, owner, part = flat[at], np.repeat(np.arange(len(y)), size[best]), 1.0 / size[best]
         logit = np.bincount(owner, word[picked], len(y)) * part + bias[1] - bias[0]
