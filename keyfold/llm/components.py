@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is joins and partial aggregates over narrow edge rows; a hub's edges
-meet its minimum in a join that skew handling can split, never in one group.
+Every step is joins and partial aggregates over narrow edge rows. The minima are
+written before they are joined: the join then broadcasts them if they are small,
+or else has a plain shuffle on both sides, which skew handling can split at a hub.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ from keyfold.sources.shared import store
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = store(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = store(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
