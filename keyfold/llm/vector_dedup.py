@@ -4,8 +4,8 @@ Unit vectors fall into the cells of a coarse quantiser; residuals are coded by
 subspace codebooks. A vector probes each cell whose boundary lies near enough:
 a partner at the threshold's distance r can be across the boundary between cells
 A and B only if x.A - x.B <= r |A - B|; the ``slack`` share of that bound is
-probed (1 is a guarantee; the default is four standard deviations of a partner in
-a random direction). Within a cell, table lookups give asymmetric distances; as
+probed (1 is a guarantee; the default is three standard deviations of a partner in
+a random direction, and either of the two finding the other is enough). Within a cell, table lookups give asymmetric distances; as
 each code's error norm is kept, a member is dropped only if even that error could
 not lift it to the threshold. What is left is reranked by exact cosine in double
 precision. Links are counted and connected block by block: a block returns one
@@ -90,7 +90,7 @@ def fit(sample: np.ndarray, rows: int, threshold: float, slack: float | None = N
     """Fit the quantisers on unit vectors; ``rows`` is the number of classes to index."""
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
-    slack = min(1.0, 4 / np.sqrt(dim)) if slack is None else slack
+    slack = min(1.0, 3 / np.sqrt(dim)) if slack is None else slack
     cells = int(np.clip(rows // CELL_ROWS, 1, min(MAX_CELLS, len(sample))))
     centres = _kmeans(sample, cells, 10, rng, unit=True)
     residual = sample - centres[np.argmax(sample @ centres.T, axis=1)]
@@ -122,8 +122,8 @@ def _links(index: Index, cell: int, q: np.ndarray, m: np.ndarray, codes: np.ndar
     return a[good], b[good]
 
 
-def _unit(column: pd.Series, dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(column), "<f8").reshape(-1, dim)
+def _unit(column: pd.Series, dim: int, kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(column), kind).reshape(-1, dim).astype(float)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -132,6 +132,8 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, n_links, component_id, kept) per row."""
     spark = vectors.sparkSession
+    # single-precision components travel as such; all arithmetic is double
+    kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
     v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
     usable = (
         F.col("id").isNotNull()
@@ -163,7 +165,7 @@ def near_duplicates(
                 x = np.stack(part["x"].to_numpy()).astype("<f8")
                 cell, probes, codes, error = shared.value.assign(x / np.linalg.norm(x, axis=1, keepdims=True))
                 yield pd.DataFrame(
-                    {"cid": part["cid"], "n": part["n"], "v": [r.tobytes() for r in x], "cell": cell.astype(np.int32), "probes": probes, "codes": [c.tobytes() for c in codes], "error": error}
+                    {"cid": part["cid"], "n": part["n"], "v": [r.tobytes() for r in x.astype(kind)], "cell": cell.astype(np.int32), "probes": probes, "codes": [c.tobytes() for c in codes], "error": error}
                 )
 
     indexed = store(classes.select("cid", "n", "x").mapInPandas(assign, "cid long, n long, v binary, cell int, probes array<int>, codes binary, error double"), "vector-index")
@@ -187,7 +189,7 @@ def near_duplicates(
         cell = int(key[0])
         if not len(ask) or not len(hold):
             return pd.DataFrame({"cid": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "hub": np.zeros(0, np.int64)})
-        q, m = _unit(ask["v"], dim), _unit(hold["v"], dim)
+        q, m = _unit(ask["v"], dim, kind), _unit(hold["v"], dim, kind)
         codes = np.frombuffer(b"".join(hold["codes"]), np.uint8).reshape(len(hold), -1)
         a, b = _links(shared.value, cell, q, m, codes, hold["error"].to_numpy(), threshold)
         q_ids, m_ids = ask["cid"].to_numpy(), hold["cid"].to_numpy()
