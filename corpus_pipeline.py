@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from keyfold.llm import mixing, packing, quality_classifier, quality_rules, simhash
 from keyfold.llm.labels import held_out
 from keyfold.llm.queries import BLOCK_DOCS, QUALITY_THRESHOLD, SHARES, tokenizer_path
-from keyfold.sources.shared import store, table
+from keyfold.sources.shared import store, table, with_row_order
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their sequences."""
-    return packing.pack(docs, tokenizer_path(), end_id=2, capacity=1024)
+    """Pieces with their sequences, which follow the order of the rows."""
+    return packing.pack(with_row_order(docs), tokenizer_path(), end_id=2, capacity=1024, order=["__file", "__row"])
 
 
 STAGES = [

@@ -9,6 +9,11 @@ squared fills, so that full bins get fuller and the emptiest ones vanish. Pieces
 of a length are interchangeable: each gets an ordinal among its length, and the
 plan maps ranges of ordinals to sequences and offsets.
 
+With an ``order`` the sequences follow it: the pieces are numbered along it and cut
+into segments of ``SEGMENT``, each segment is packed by itself, its sequences come
+after those of the segments before, and inside it by their first piece. A prefix of
+the sequences thus holds a prefix of the pieces, up to one segment.
+
 Defined results: a null text is a document of just the end id; null ids are
 packed like any other; repeated rows are each packed; an empty table gives an
 empty result; other columns are not read.
@@ -28,11 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keyfold.functions.ordering import with_position
 from keyfold.llm.tokenization import encoder
 from keyfold.sources.shared import store
 
 #: Sub-groups that the pieces of one length are numbered in.
 SALTS = 256
+#: Pieces that are packed together where the order of the input counts.
+SEGMENT = 2048
+#: Rows of one file that are numbered together.
+_ROWS = 8192
 
 Bin = tuple[int, ...]
 
@@ -173,8 +183,11 @@ def pieces(
     keep_ids: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
+    order: list[str] | None = None,
 ) -> DataFrame:
-    """(id, piece, start, length, ids_crc32[, ids]) of every document's pieces."""
+    """(id, piece, start, length, ids_crc32[, ids]) of every document's pieces, and the columns of ``order``."""
+    order = order or []
+    carried = docs.select(*order).schema if order else []
     schema = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,19 +204,39 @@ def pieces(
             columns = list(zip(*rows)) if rows else [()] * (4 + keep_ids)
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.record_batch(
-                [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds))],
-                ["id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids],
+                [
+                    batch.column(0).take(pa.array(at, pa.int64())),
+                    *(pa.array(c, t) for c, t in zip(columns, kinds)),
+                    *(c.take(pa.array(at, pa.int64())) for c in batch.columns[2:]),
+                ],
+                [*["id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids], *order],
             )
 
     out = f"id {schema}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(encode, out).withColumnRenamed("id", id_col)
+    out += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in carried)
+    return docs.select(F.col(id_col), F.col(text_col), *order).mapInArrow(encode, out).withColumnRenamed("id", id_col)
+
+
+def _by_length(p: pd.DataFrame) -> dict[int, tuple[np.ndarray, ...]]:
+    return {k: tuple(g[c].to_numpy() for c in ("first", "sequence", "offset")) for k, g in p.groupby("length")}
+
+
+def _places(at_length: dict[int, tuple[np.ndarray, ...]], length: np.ndarray, ordinal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of pieces by their ordinal among those of their length."""
+    sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+    for n in np.unique(length):
+        rows = np.flatnonzero(length == n)
+        first, seq, off = at_length[n]
+        i = np.searchsorted(first, ordinal[rows], "right") - 1
+        sequence[rows] = seq[i] + ordinal[rows] - first[i]
+        offset[rows] = off[i]
+    return sequence, offset
 
 
 def assign(found: DataFrame, capacity: int = 1024, id_col: str = "doc_id") -> DataFrame:
     """``found`` (a stored table with ``length``) with ``sequence_id`` and ``offset``."""
     histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    p = plan(histogram, capacity)
-    at_length = {k: tuple(g[c].to_numpy() for c in ("first", "sequence", "offset")) for k, g in p.groupby("length")}
+    at_length = _by_length(plan(histogram, capacity))
     salted = found.withColumn("__salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(SALTS)))
     counts = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n"))
     run = W.partitionBy("length").orderBy("__salt").rowsBetween(W.unboundedPreceding, 0)
@@ -214,20 +247,43 @@ def assign(found: DataFrame, capacity: int = 1024, id_col: str = "doc_id") -> Da
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-            ordinal, length = pdf.pop("__ordinal").to_numpy(), pdf["length"].to_numpy()
-            for n in np.unique(length):
-                rows = np.flatnonzero(length == n)
-                first, seq, off = at_length[n]
-                i = np.searchsorted(first, ordinal[rows], "right") - 1
-                sequence[rows] = seq[i] + ordinal[rows] - first[i]
-                offset[rows] = off[i]
+            ordinal = pdf.pop("__ordinal").to_numpy()
+            sequence, offset = _places(at_length, pdf["length"].to_numpy(), ordinal)
             yield pdf.assign(sequence_id=sequence, offset=offset)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
     return d.mapInPandas(place, f"{fields}, sequence_id long, offset long")
 
 
+def assign_in_order(found: DataFrame, order: list[str], capacity: int = 1024) -> DataFrame:
+    """``found`` (a stored table of :func:`pieces`) with ``sequence_id`` and ``offset``; sequences follow (``order``, piece)."""
+    *outer, row = order
+    bucket = F.struct(*outer, F.expr(f"`{row}` div {_ROWS}").alias("__rows"))
+    d = with_position(found, bucket, [*order, "piece"], "__pos")
+    d = d.withColumn("__segment", F.expr(f"(__pos - 1) div {SEGMENT}")).drop(*order)
+
+    def place(table: pa.Table) -> pa.Table:
+        position, length = table["__pos"].to_numpy(), table["length"].to_numpy()
+        ordinal = np.zeros(len(length), np.int64)
+        by_length = np.lexsort((position, length))
+        starts = np.flatnonzero(np.diff(length[by_length], prepend=-1))
+        ordinal[by_length] = np.arange(len(length)) - np.repeat(starts, np.diff(starts, append=len(length)))
+        sequence, offset = _places(_by_length(plan(Counter(length.tolist()), capacity)), length, ordinal)
+        first = np.full(sequence.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, sequence, position)
+        rank = np.empty(len(first), np.int64)
+        rank[np.argsort(first)] = np.arange(len(first))
+        return table.drop_columns(["__pos"]).append_column("sequence_id", pa.array(rank[sequence])).append_column("offset", pa.array(offset))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.drop("__pos").schema)
+    placed = store(d.groupBy("__segment").applyInArrow(place, f"{fields}, sequence_id long, offset long"), "placed")
+    sizes = placed.groupBy("__segment").agg((F.max("sequence_id") + 1).alias("__n"))
+    before = F.sum("__n").over(W.orderBy("__segment").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select("__segment", F.coalesce(before, F.lit(0)).alias("__before"))  # a row a segment
+    d = placed.join(sizes, "__segment").withColumn("sequence_id", F.col("sequence_id") + F.col("__before"))
+    return d.drop("__segment", "__before")
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
@@ -236,7 +292,13 @@ def pack(
     keep_ids: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
+    order: list[str] | None = None,
 ) -> DataFrame:
-    """Every piece with its sequence and place; ``keep_ids`` adds the ids themselves."""
-    found = store(pieces(docs, tokenizer_path, end_id, capacity, keep_ids, id_col, text_col), "pieces")
+    """Every piece with its sequence and place; ``keep_ids`` adds the ids themselves.
+
+    ``order`` names columns that sequences follow, the last one a number.
+    """
+    found = store(pieces(docs, tokenizer_path, end_id, capacity, keep_ids, id_col, text_col, order), "pieces")
+    if order:
+        return assign_in_order(found, order, capacity)
     return assign(found, capacity, id_col)

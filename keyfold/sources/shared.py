@@ -10,7 +10,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -48,3 +50,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_row_order(df: DataFrame) -> DataFrame:
+    """``df`` with ``__file`` and ``__row``, by which its rows stand as they were written.
+
+    Readers deal files out by size, so the place in the file tells the order; rows
+    that do not come straight from files keep the order of their partitions.
+    """
+    try:
+        return df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return df.select("*", F.lit("").alias("__file"), F.monotonically_increasing_id().alias("__row"))

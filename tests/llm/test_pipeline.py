@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from keyfold.llm import quality_classifier, quality_rules, simhash
+from keyfold.llm import mixing, packing, quality_classifier, quality_rules, simhash
 from keyfold.llm.queries import QUALITY_THRESHOLD, tokenizer_path
+from keyfold.sources.shared import store
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +85,28 @@ def test_stages_take_odd_tables(spark, stage):
     if stage is not corpus_pipeline.STAGES[-1][1]:
         assert out.columns == odd.columns
     assert stage(spark, odd.limit(0), SF).count() == 0
+
+
+def test_packed_prefixes_follow_the_mix(spark, monkeypatch):
+    """A prefix of the sequences holds the first documents of the mix, and other shares give another one."""
+    monkeypatch.setattr(packing, "SEGMENT", 8)
+    text = " ".join(f"w{i}" for i in range(40))
+    d = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.when(F.col("id") < 200, "src0").otherwise("src1").alias("source"))
+    d = store(d.repartition(3, "doc_id"), "mix-test")
+    for shares in ({"src0": 3, "src1": 1}, {"src0": 1, "src1": 3}):
+        monkeypatch.setattr(corpus_pipeline, "SHARES", shares)
+        mixed = store(corpus_pipeline.mix(spark, d, SF), "mix-test")
+        places = mixing.mix(d, shares, block_docs=corpus_pipeline.BLOCK_DOCS).orderBy("mix_position").collect()
+        got = corpus_pipeline.pack(spark, mixed, SF).orderBy("sequence_id").collect()
+        assert len(got) == 400
+        for n in (64, 128, 200):
+            assert {r.doc_id for r in got[:n]} == {r.doc_id for r in places[:n]}
+
+
+def test_run_changes_with_the_shares(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SEGMENT", 16)
+    found = []
+    for shares in ({"src0": 9}, {"src1": 9}):
+        monkeypatch.setattr(corpus_pipeline, "SHARES", shares)
+        found.append({(r.doc_id, r.piece): r.sequence_id for r in corpus_pipeline.run(spark, SF).collect()})
+    assert found[0].keys() == found[1].keys() and found[0] != found[1]
