@@ -54,11 +54,25 @@ def isolation_boundary(hot: Column, next_token: Column, start: Column, end: Colu
     return F.when((hot > start) & (hot < end), hot).when((next_token > start) & (next_token < end), next_token)
 
 
+def window_tops(counts: DataFrame, clear_bp: int = 3000) -> DataFrame:
+    """(range, window, total, top, top_n, counts) for :func:`hot_keys` of ``counts`` (range, window, token, n).
+
+    ``counts`` keeps the tokens with a share of at least ``clear_bp``, as all others clear alike: at most three at 3000.
+    """
+    d = counts.withColumn("__total", F.sum("n").over(W.partitionBy("range", "window")))
+    heavy = F.when(F.col("n") * 10000 >= clear_bp * F.col("__total"), F.struct("token", "n"))
+    best = F.min(F.struct((-F.col("n")).alias("m"), F.col("token").alias("t")))
+    d = d.groupBy("range", "window").agg(
+        F.max("__total").alias("total"), best.alias("__best"), F.map_from_entries(F.collect_list(heavy)).alias("counts")
+    )
+    return d.select("range", "window", "total", F.col("__best")["t"].alias("top"), (-F.col("__best")["m"]).alias("top_n"), "counts")
+
+
 def hot_keys(windows: DataFrame, share_bp: int = 5000, clear_bp: int = 3000, raise_after: int = 2, clear_after: int = 15) -> DataFrame:
     """(range, window, flagged): the token flagged after each window, or null.
 
     ``windows`` holds (range, window, total, top, top_n) and, in ``counts``, the
-    counts of that window by token. Thin windows change nothing. Each range is
+    counts of that window by token, at least those from ``clear_bp`` on. Thin windows change nothing. Each range is
     one ordered fold over its windows.
     """
     order = ["range", "window", "total", "top", "top_n", "counts"]
@@ -131,14 +145,28 @@ def range_gaps(ranges: DataFrame) -> DataFrame:
 
 
 def batch_ewma(samples: DataFrame, by: str, order: str, value: str, weight: float = 0.8) -> DataFrame:
-    """The exponentially weighted mean of each ``by``'s ordered values, by an array fold."""
-    ordered = samples.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("__s"))
-    fold = F.aggregate(
-        F.slice("__s", 2, F.greatest(F.size("__s") - 1, F.lit(0))),
-        F.get("__s", 0)[value].cast("double"),
-        lambda a, x: a * weight + x[value] * (1 - weight),
+    """The exponentially weighted mean of each ``by``'s ordered values; null if one of them is.
+
+    A weighted sum: a value counts ``(1 - weight) * weight ** rows after it``, the
+    first one without the factor. Ranges of the order are summed apart, so no task
+    holds a whole ``by``; only a row a range and ``by`` is accumulated.
+    """
+    d = samples.select(F.col(by).alias("__by"), F.col(order).alias("__o"), F.col(value).cast("double").alias("__v"))
+    d = d.repartitionByRange("__by", "__o", "__v").withColumn("__range", F.spark_partition_id())
+    after = F.row_number().over(W.partitionBy("__by", "__range").orderBy(F.desc("__o"), F.desc("__v"))) - 1
+    least = F.lit(5e-324)  # a weight of zero would turn an infinite value into NaN
+    weighted = F.col("__v") * F.greatest(F.pow(F.lit(weight), F.col("__after")), least)
+    sums = d.withColumn("__after", after).groupBy("__by", "__range").agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.count("__v").alias("__known"),
+        F.sum(weighted).alias("__sum"),
+        F.max_by(weighted, "__after").alias("__first"),
     )
-    return ordered.select(by, fold.alias("ewma"))
+    later = W.partitionBy("__by").orderBy(F.desc("__range")).rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("__w", F.greatest(F.pow(F.lit(weight), F.coalesce(F.sum("__n").over(later), F.lit(0))), least))
+    total = F.sum(F.col("__w") * F.col("__sum")) * (1 - weight) + F.min_by(F.col("__w") * F.col("__first"), "__range") * weight
+    ewma = F.when(F.sum("__known") == F.sum("__n"), total)
+    return sums.groupBy(F.col("__by").alias(by)).agg(ewma.alias("ewma"))
 
 
 def telemetry(samples: DataFrame, ids: list[str], counters: list[str], order: str) -> DataFrame:

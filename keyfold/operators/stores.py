@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,16 +37,27 @@ def fold_unique(journal: DataFrame, scope: str, key: str = "key", unique: str =
     A put whose value another key holds does nothing at all; a put that changes
     its value, a delete or a clear gives the old value up. Earlier losers get
     nothing back. Each scope (a store's range, say) is folded in order by one
-    task, batch after batch; its memory is the scope's current rows.
+    task from a sorted stream of batches; its memory is the scope's current rows.
     """
     columns = journal.columns
 
-    def run(_: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
         rows: dict = {}
         holder: dict = {}
-        for pdf in sorted(batches, key=lambda b: b[order].iloc[0]):
-            for row in pdf.sort_values(order).itertuples(index=False):
-                r = dict(zip(columns, row))
+
+        def current() -> Iterator[pa.RecordBatch]:
+            held = list(rows.values())
+            for i in range(0, len(held), 10_000):
+                yield pa.RecordBatch.from_pylist(held[i : i + 10_000], schema=kind)
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema
+            for r in batch.to_pylist():
+                if now != (r[scope],):
+                    yield from current()
+                    now, rows, holder = (r[scope],), {}, {}
                 if r["op"] == "clear":
                     rows.clear()
                     holder.clear()
@@ -61,14 +72,9 @@ def fold_unique(journal: DataFrame, scope: str, key: str = "key", unique: str =
                     rows[k] = r
                     if value is not None:
                         holder[value] = k
-        if rows:
-            yield pd.DataFrame(list(rows.values()), columns=columns)
-
-    def whole(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = list(run(key_, iter([pdf.astype(object).where(pdf.notna(), None)])))
-        return out[0] if out else pdf.iloc[:0]
+        yield from current()
 
-    return journal.groupBy(scope).applyInPandas(whole, journal.schema)
+    return journal.repartition(scope).sortWithinPartitions(scope, order).mapInArrow(run, journal.schema).select(columns)
 
 
 def accumulate(rows: DataFrame, deltas: DataFrame, key: list[str]) -> DataFrame:

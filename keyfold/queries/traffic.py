@@ -51,13 +51,7 @@ def hot_key_flags(spark, sf_dir):
         (F.col("user_id") % 4).alias("range"), F.expr("event_time_ns div 43200000000000").alias("window"), F.when(F.expr("event_time_ns div 86400000000000 % 5 < 3"), "hot").otherwise(F.concat(F.lit("u"), F.col("user_id") % 8)).alias("token")
     )
     n = d.groupBy("range", "window", "token").agg(F.count(F.lit(1)).alias("n"))
-    w = n.groupBy("range", "window").agg(
-        F.sum("n").alias("total"),
-        F.min(F.struct((-F.col("n")).alias("m"), F.col("token").alias("t"))).alias("best"),
-        F.map_from_entries(F.collect_list(F.struct("token", "n"))).alias("counts"),
-    )
-    w = w.select("range", "window", "total", F.col("best")["t"].alias("top"), (-F.col("best")["m"]).alias("top_n"), "counts")
-    return demand.hot_keys(w, clear_after=2)
+    return demand.hot_keys(demand.window_tops(n), clear_after=2)
 
 
 def range_route(spark, sf_dir):

@@ -170,6 +170,54 @@ def test_hot_key_raises_and_clears(spark):
     assert traffic.hot_key_flags(spark, SF).count() > 0
 
 
+def test_hot_key_windows_hold_only_heavy_tokens(spark):
+    rows = [(0, w, f"t{i}", 1 + 60 * (i == w % 3)) for w in range(12) for i in range(100)] + [(1, 0, t, n) for t, n in (("a", 3), ("b", 3), ("c", 3), ("d", 1))]
+    d = spark.createDataFrame(rows, "range int, window long, token string, n long")
+    out = demand.window_tops(d)
+    got = {(r.range, r.window): r for r in out.collect()}
+    assert all(r.counts == {f"t{r.window % 3}": 61} and r.total == 160 and r.top_n == 61 for k, r in got.items() if k[0] == 0)
+    assert got[1, 0].counts == {"a": 3, "b": 3, "c": 3} and got[1, 0].top == "a"
+    n = d.groupBy("range", "window").agg(F.map_from_entries(F.collect_list(F.struct("token", "n"))).alias("counts"))
+    whole = out.drop("counts").join(n, ["range", "window"])
+    flags = [sorted(demand.hot_keys(x, share_bp=3500, raise_after=1, clear_after=1).collect()) for x in (out, whole)]
+    assert flags[0] == flags[1] and any(r.flagged for r in flags[0])
+
+
+def test_ewma_holds_no_type_in_one_row(spark):
+    rows = [("a", i, float(i * 37 % 101)) for i in range(5000)] + [("b", 1, 3.0)] + [("c", 1, 2.0), ("c", 2, None)] + [(None, 1, 4.0), (None, 2, 8.0)]
+    d = spark.createDataFrame(rows, "t string, o long, v double").repartition(3)
+    want = {}
+    for t in {r[0] for r in rows}:
+        a, *rest = [r[2] for r in rows if r[0] == t]
+        for x in rest:
+            a = None if a is None or x is None else a * 0.8 + x * (1 - 0.8)
+        want[t] = a
+    out = demand.batch_ewma(d, "t", "o", "v")
+    assert {r.t: r.ewma for r in out.collect()} == {k: v if v is None else pytest.approx(v, abs=1e-9) for k, v in want.items()}
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_unique_fold_streams_its_scopes(spark):
+    """A scope comes as batches, never as one frame."""
+    j = spark.range(4000).selectExpr("id % 2 AS scope", "id AS seq", "if(id = 100, 'clear', if(id % 9 = 0, 'delete', 'put')) AS op", "concat('k', id % 31) AS key", "nullif(id % 17, 3) AS unique_value")
+    rows, holder = {}, {}
+    for r in sorted(j.collect(), key=lambda r: r.seq):
+        mine, held = rows.setdefault(r.scope, {}), holder.setdefault(r.scope, {})
+        if r.op == "clear":
+            mine.clear(), held.clear()
+        elif r.op == "delete" or r.unique_value is None or held.get(r.unique_value, r.key) == r.key:
+            old = mine.pop(r.key, None)
+            if old is not None and old.unique_value is not None:
+                held.pop(old.unique_value, None)
+            if r.op == "put":
+                mine[r.key] = r
+                if r.unique_value is not None:
+                    held[r.unique_value] = r.key
+    out = stores.fold_unique(j.repartition(5), "scope")
+    assert sorted(out.collect(), key=repr) == sorted((r for m in rows.values() for r in m.values()), key=repr)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_delay_blocks_a_key_behind_its_parked_record(spark):
     d = spark.createDataFrame([(1, "a", 10), (2, "b", 50), (3, "b", 12), (4, "a", 13)], "pos long, key string, ingest_time_ns long")
     assert sorted(r.pos for r in subscriptions.delayed(d, 40, 10).collect()) == [1, 4]
