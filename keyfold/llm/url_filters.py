@@ -84,13 +84,13 @@ def mine_rules(
     min_support: float = 0.002,
     min_count: int = 20,
     min_confidence: float = 0.6,
-    min_lift: float = 2.0,
-    max_tokens: int = 3,
 ) -> DataFrame:
     """(antecedent, confidence, key) of the rules ``tokens => block`` that survive pruning.
 
     ``key`` is the antecedent's rarest token. Support is the share of labelled
-    URLs that hold the tokens and the label, and at least ``min_count`` of them.
+    URLs that hold the tokens and the label, and at least ``min_count`` of them. A
+    lift of one says nothing beyond the base rate; any above it will do, as more
+    cannot be reached where most labels are block.
     """
     spark = labelled.sparkSession
     tokens = tokens_of(F.col(url_col))
@@ -105,8 +105,7 @@ def mine_rules(
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.where(
         (F.col("consequent") == F.array(F.lit(BLOCK)))
-        & (F.size("antecedent") <= max_tokens)
-        & (F.col("lift") >= min_lift)
+        & (F.col("lift") > 1)
         & (F.round(F.col("support") * n) >= min_count)
     ).select(F.sort_array("antecedent").alias("antecedent"), "confidence")
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("t"), "freq")

@@ -111,6 +111,20 @@ def test_association_rules_are_mined_and_matched(spark):
     assert op2_url_filters(spark, SF).count() == spark.read.parquet(f"{SF}/pages.parquet").count()
 
 
+def test_association_rules_with_a_high_base_rate_and_many_tokens(spark):
+    """Most URLs are block, and one rule needs four tokens."""
+    rows = [(f"https://a{i}.test/bad/x{'yz'[i % 2]}", True) for i in range(200)] + [(f"https://b{i}.test/fine", False) for i in range(60)]
+    for i in range(40):
+        own = ["s", "t", "u", "v"]
+        rows.append(("https://h.org/" + "/".join(own), True))
+        rows += [("https://h.org/" + "/".join(own[:k] + own[k + 1 :]), False) for k in range(4)]
+    assert 2 * sum(b for _, b in rows[:260]) > 260
+    high = url_filters.mine_rules(spark.createDataFrame(rows[:260], "url string, block boolean"))
+    assert ["p:bad"] in [r.antecedent for r in high.collect()]
+    four = url_filters.mine_rules(spark.createDataFrame(rows[260:], "url string, block boolean"))
+    assert ["p:s", "p:t", "p:u", "p:v"] in [r.antecedent for r in four.collect()]
+
+
 def auc(y, p):
     rank = np.argsort(np.argsort(p)) + 1
     n1 = sum(y)
