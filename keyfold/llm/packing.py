@@ -37,8 +37,8 @@ from keyfold.functions.ordering import with_position
 from keyfold.llm.tokenization import encoder
 from keyfold.sources.shared import store
 
-#: Sub-groups that the pieces of one length are numbered in.
-SALTS = 256
+#: Pieces of one length that are numbered together, about.
+SALTED = 1024
 #: Pieces that are packed together where the order of the input counts.
 SEGMENT = 2048
 #: Rows of one file that are numbered together.
@@ -88,16 +88,20 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> Counter[Bin
     return Counter({kind: n for own in bins.values() for kind, n in own.items()})
 
 
-def local_search(bins: Counter[Bin], capacity: int, max_steps: int = 20_000) -> Counter[Bin]:
+def lower_bound(bins: Counter[Bin], capacity: int) -> int:
+    """No packing of the same pieces has fewer bins."""
+    return -(-sum(sum(k) * n for k, n in bins.items()) // capacity)
+
+
+def local_search(bins: Counter[Bin], capacity: int) -> Counter[Bin]:
     """Moves and exchanges between underfull bins until the lower bound or no step raises the squared fill.
 
-    ``max_steps`` bounds the driver's time, not the documents: a step treats all
-    bins of two kinds at once.
+    A step treats all bins of two kinds at once. It ends, as every step raises a
+    sum that the capacity bounds.
     """
     bins = Counter({tuple(sorted(k, reverse=True)): n for k, n in bins.items()})
-    least = -(-sum(sum(k) * n for k, n in bins.items()) // capacity)
-    steps = 0
-    while sum(bins.values()) > least and steps < max_steps:
+    least = lower_bound(bins, capacity)
+    while sum(bins.values()) > least:
         open_bins = sorted((k for k in bins if sum(k) < capacity), key=sum)
         offers: dict[int, list[tuple[Bin, Bin]]] = defaultdict(list)  # (bin, pieces) by size, the emptiest bin first
         for k in open_bins:
@@ -105,7 +109,6 @@ def local_search(bins: Counter[Bin], capacity: int, max_steps: int = 20_000) ->
                 offers[sum(out)].append((k, out))
         sizes, gone, moved = sorted(offers), set(), False
         for a in reversed(open_bins):  # the fullest gains first
-            steps += 1
             step = None if a in gone else _improve(a, capacity, offers, sizes, bins, gone)
             if step:
                 b, out_a, out_b = step
@@ -184,6 +187,7 @@ def pieces(
     id_col: str = "doc_id",
     text_col: str = "text",
     order: list[str] | None = None,
+    special_as_text: bool = False,
 ) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) of every document's pieces, and the columns of ``order``."""
     order = order or []
@@ -191,12 +195,12 @@ def pieces(
     schema = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
-        end = np.array([end_id], "<u4").tobytes()
+        enc = encoder(tokenizer_path, special_as_text)
+        end = np.array([end_id], "<u4")
         for batch in batches:
             rows, at = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = enc.encode(text or "") + end
+            for i, own in enumerate(enc.encode_batch(batch.column(1))):
+                ids = np.append(own, end).tobytes()
                 for p, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     own = ids[4 * start : 4 * (start + length)]
                     at.append(i)
@@ -237,10 +241,12 @@ def assign(found: DataFrame, capacity: int = 1024, id_col: str = "doc_id") -> Da
     """``found`` (a stored table with ``length``) with ``sequence_id`` and ``offset``."""
     histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     at_length = _by_length(plan(histogram, capacity))
-    salted = found.withColumn("__salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(SALTS)))
+    salts = [1 + histogram.get(n, 0) // SALTED for n in range(capacity + 1)]
+    own = F.get(F.expr("array(" + ",".join(map(str, salts)) + ")"), F.col("length").cast("int"))
+    salted = found.withColumn("__salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), own))
     counts = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n"))
     run = W.partitionBy("length").orderBy("__salt").rowsBetween(W.unboundedPreceding, 0)
-    counts = counts.select("length", "__salt", (F.sum("__n").over(run) - F.col("__n")).alias("__before"))  # at most SALTS rows a length
+    counts = counts.select("length", "__salt", (F.sum("__n").over(run) - F.col("__n")).alias("__before"))  # a row for SALTED pieces
     order = W.partitionBy("length", "__salt").orderBy(id_col, "piece", "ids_crc32")
     d = salted.withColumn("__in", F.row_number().over(order)).join(counts, ["length", "__salt"])
     d = d.select(*found.columns, (F.col("__before") + F.col("__in") - 1).alias("__ordinal"))
@@ -293,12 +299,13 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     order: list[str] | None = None,
+    special_as_text: bool = False,
 ) -> DataFrame:
     """Every piece with its sequence and place; ``keep_ids`` adds the ids themselves.
 
     ``order`` names columns that sequences follow, the last one a number.
     """
-    found = store(pieces(docs, tokenizer_path, end_id, capacity, keep_ids, id_col, text_col, order), "pieces")
+    found = store(pieces(docs, tokenizer_path, end_id, capacity, keep_ids, id_col, text_col, order, special_as_text), "pieces")
     if order:
         return assign_in_order(found, order, capacity)
     return assign(found, capacity, id_col)

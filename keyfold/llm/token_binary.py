@@ -13,7 +13,7 @@ the format's closing magic is the line separator, so any file system that Spark
 reaches will do, and a task that is lost leaves nothing behind.
 
 Defined results: a null text is empty and still gets its end id; null ids come
-first; rows that repeat an id stay next to each other, ordered by text; an empty
+first; rows that repeat an id stay next to each other, ordered by a hash of their text; an empty
 table writes no shard and reads back empty; other columns are not read.
 """
 
@@ -69,6 +69,7 @@ def write_tokens(
     shard_tokens: int = 4_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
+    special_as_text: bool = False,
 ) -> None:
     """Encode every whole text and write the shards below ``path``.
 
@@ -76,7 +77,7 @@ def write_tokens(
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, special_as_text)
         dtype = np.dtype("<u2" if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         end = np.array([end_id], dtype)
         part, no = TaskContext.get().partitionId(), 0
@@ -89,9 +90,8 @@ def write_tokens(
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.frombuffer(enc.encode(text or ""), "<u4").astype(dtype)
-                ids += (own, end)
+            for doc_id, own in zip(batch.column(0).to_pylist(), enc.encode_batch(batch.column(1))):
+                ids += (own.astype(dtype), end)
                 doc_ids.append(doc_id)
                 counts.append(len(own) + 1)
                 total += len(own) + 1
@@ -101,9 +101,11 @@ def write_tokens(
         if doc_ids:
             yield flush()
 
-    d = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    d = d.repartitionByRange(F.col("__id").asc_nulls_first()).sortWithinPartitions(F.col("__id").asc_nulls_first(), "__text")
-    d = d.mapInArrow(encode, "content binary")
+    d = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__hash"), F.spark_partition_id().alias("__from"))
+    # rows of one id, and equal rows, can go to several shards
+    order = [F.col("__id").asc_nulls_first(), F.col("__hash"), F.col("__from")]
+    d = d.repartitionByRange(*order).sortWithinPartitions(*order, "__text")
+    d = d.select("__id", "__text").mapInArrow(encode, "content binary")
     # the writer puts the closing magic back
     body = F.expr(f"substring(content, 1, octet_length(content) - {len(MAGIC)})").cast("string")
     d.select(body.alias("value")).write.option("lineSep", MAGIC).option("maxRecordsPerFile", 1).text(path)
@@ -112,6 +114,7 @@ def write_tokens(
 def read_tokens(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """(part, no, doc_id, shard_start, n_tokens, ids_crc32) per document, from the files.
 
+    ``id_type`` is the type of the ids that were written.
     ``ids_crc32`` is over the document's ids as little-endian unsigned 32-bit integers.
     """
 

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -35,22 +36,29 @@ def docs(spark):
 
 @pytest.fixture(scope="session")
 def tokenizer():
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def ids_of(tokenizer, text, end):
     return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
-def test_encoder_equals_the_library(tokenizer):
-    enc = Encoder(tokenizer_path(), max_entries=50, max_pieces=20)
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_encoder_equals_the_library(special_as_text):
+    """Texts one by one, in small and in large batches, with and without strings of added tokens read as such."""
+    plain = Tokenizer.from_file(tokenizer_path())
+    plain.encode_special_tokens = special_as_text
     rng = random.Random(1)
-    alphabet = list("aabcé .,'\n\t  1²") + ["\u2003", "\x1c", "日", "'s", "🙂"]
-    texts = [x for x in ODD if x is not None] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(800)]
-    for text in texts:
-        assert np.frombuffer(enc.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    alphabet = list("aabcé .,'\n\t  1²") + ["\u2003", "\x1c", "日", "'s", "🙂", "\x85", "<|endoftext|>"]
+    texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    texts += [" ".join(rng.choice(["ab", "ab,", "é", "don't", "x'", "x''y", "ß&&&", "日.", "-", "a.\nB", "ª!"]) for _ in range(30)) for _ in range(300)]
+    enc = Encoder(tokenizer_path(), special_as_text, max_known=40)
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert (50256 in [i for ids in want for i in ids]) != special_as_text
+    for size in (1, 13, len(texts)):
+        got = [ids.tolist() for i in range(0, len(texts), size) for ids in enc.encode_batch(pa.array(texts[i : i + size], pa.string()))]
+        assert got == want
+    assert list(enc.encode_batch(pa.array([], pa.string()))) == []
 
 
 def test_warc_round_trip(spark):
@@ -331,8 +339,6 @@ def test_packing_search_improves_and_keeps_every_piece():
 
 
 def test_token_files(spark, docs, tokenizer, tmp_path):
-    import pyarrow as pa
-
     path = new_path(spark, "tokens")
     token_binary.write_tokens(docs, path, tokenizer_path(), sequence_length=16, batch_rows=4, shard_tokens=3000)
     got = token_binary.with_starts(token_binary.read_tokens(spark, path)).orderBy("start").collect()

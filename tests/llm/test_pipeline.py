@@ -62,7 +62,6 @@ def _posterior(x, labels):
 def test_pipeline_equals_plain_version(spark):
     got = corpus_pipeline.run(spark, SF).collect()
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     want = {}
     for d in plain(spark, SF):
         ids = np.array([*t.encode(d["text"] or "", add_special_tokens=False).ids, 2], "<u4")
