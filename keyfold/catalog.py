@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keyfold.queries import feeds, state, traffic, windows
+from keyfold.queries import feeds, health, state, traffic, windows
 
-QUERIES = feeds.QUERIES | windows.QUERIES | state.QUERIES | traffic.QUERIES
-SQL = feeds.SQL | windows.SQL | state.SQL | traffic.SQL
+QUERIES = feeds.QUERIES | windows.QUERIES | state.QUERIES | traffic.QUERIES | health.QUERIES
+SQL = feeds.SQL | windows.SQL | state.SQL | traffic.SQL | health.SQL

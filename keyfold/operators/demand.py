@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -125,17 +128,19 @@ def baseline(samples: DataFrame, min_rates: int = 60, streak: int = 3) -> DataFr
 def route(feed: DataFrame, ranges: DataFrame, key: str = "key") -> DataFrame:
     """``feed`` with the id of the range that holds its key's token.
 
-    ``ranges`` (range_id, start, end) are contiguous; their starts become a
-    sorted literal, as a catalog of ranges is small (at most 10,000).
+    ``ranges`` (range_id, start, end) are contiguous, any number of them, the last
+    one with an end that no token reaches. A range stands under each two-digit
+    prefix that it touches, so a token is compared with the ranges of its prefix alone.
     """
-    rows = ranges.select("range_id", "start").orderBy("start").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10,000 ranges")
-    token = key_token(F.col(key))
-    starts = F.array(*[F.lit(r["start"]) for r in rows])
-    ids = F.array(*[F.lit(r["range_id"]) for r in rows])
-    at = F.size(F.filter(starts, lambda s: s <= token))
-    return feed.withColumn("range_id", F.get(ids, at - 1))
+    first = F.conv(F.substring(F.rpad("start", 2, "0"), 1, 2), 16, 10).cast("int")
+    beyond = F.length("end") > 32  # one past the largest token has a digit more
+    last = F.when(beyond, 255).otherwise(F.conv(F.substring(F.rpad("end", 2, "0"), 1, 2), 16, 10).cast("int"))
+    by_prefix = ranges.select("range_id", "start", "end", beyond.alias("__beyond"), F.explode(F.sequence(first, F.greatest(first, last))).alias("__prefix"))
+    d = feed.withColumn("__token", key_token(F.col(key)))
+    d = d.withColumn("__prefix", F.conv(F.substring("__token", 1, 2), 16, 10).cast("int"))
+    inside = (F.col("start") <= F.col("__token")) & (F.col("__beyond") | (F.col("__token") < F.col("end")))
+    joined = d.alias("d").join(by_prefix.alias("r"), (F.col("d.__prefix") == F.col("r.__prefix")) & inside, "left")
+    return joined.select(*[F.col(f"d.`{c}`") for c in feed.columns], "range_id")
 
 
 def range_gaps(ranges: DataFrame) -> DataFrame:
@@ -176,10 +181,40 @@ def telemetry(samples: DataFrame, ids: list[str], counters: list[str], order: st
     return samples.groupBy(*ids).agg(F.count(F.lit(1)).alias("samples"), *sums, *last)
 
 
-def pressure_runs(samples: DataFrame, by: str, order: str, pressed: Column, n: int) -> DataFrame:
-    """(by, started, length) of unbroken runs of at least ``n`` pressed samples: where a split or merge becomes due."""
-    w = W.partitionBy(by).orderBy(order)
-    d = samples.withColumns({"__p": F.coalesce(pressed, F.lit(False)), "__nth": F.row_number().over(w)})
-    d = d.where("__p").withColumn("__run", F.col("__nth") - F.row_number().over(w))
-    runs = d.groupBy(by, "__run").agg(F.min(order).alias("started"), F.count(F.lit(1)).alias("length"))
-    return runs.where(F.col("length") >= n).select(by, "started", "length")
+def pressure_due(samples: DataFrame, by: str, order: str, pressed: Column, n: int, cooldown: int = 0) -> DataFrame:
+    """(by, order): the samples at which a split or merge becomes due, after ``n`` pressed ones on end.
+
+    A sample that is not pressed starts the count again, and so does being due, after
+    which ``cooldown`` samples count for nothing. A sorted stream of samples goes by;
+    all that is kept is the count.
+    """
+    fields = samples.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, count, rest = None, 0, 0
+        for batch in batches:
+            due = []
+            subjects, hot = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for i, subject in enumerate(subjects):
+                if subject != now:
+                    now, count, rest = subject, 0, 0
+                if rest:
+                    rest -= 1
+                    continue
+                count = count + 1 if hot[i] else 0
+                if count == n:
+                    due.append(i)
+                    count, rest = 0, cooldown
+            yield batch.take(pa.array(due, pa.int64())).select([0, 1])
+
+    d = samples.select(by, order, F.coalesce(pressed, F.lit(False)).alias("__p")).where(F.col(by).isNotNull())
+    d = d.repartition(by).sortWithinPartitions(by, order)
+    return d.mapInArrow(run, f"`{by}` {fields[by].dataType.simpleString()}, `{order}` {fields[order].dataType.simpleString()}")
+
+
+def cold_pairs(ranges: DataFrame, rates: DataFrame, max_rate: int) -> DataFrame:
+    """(left, right) neighbours in the range map that both see at most ``max_rate``; ranges without a rate see nothing."""
+    d = ranges.join(rates, "range_id", "left").withColumn("rate", F.coalesce("rate", F.lit(0)))
+    w = W.orderBy("start")  # a row a range
+    d = d.withColumns({"right": F.lead("range_id").over(w), "__r": F.lead("rate").over(w)})
+    return d.where((F.col("rate") <= max_rate) & (F.col("__r") <= max_rate)).select(F.col("range_id").alias("left"), "right")

@@ -1,4 +1,4 @@
-"""Retention, policy inheritance, access and diagnostics."""
+"""Retention, policy inheritance and access."""
 
 from __future__ import annotations
 
@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SEVERITY = ["healthy", "advisory", "limited", "degraded", "unhealthy"]
-
-
 def retention(segments: DataFrame, now_ns: int, expire_ns: int | None, max_bytes: int | None, holds: DataFrame | None = None) -> DataFrame:
     """Segments to delete: the unbroken run of oldest ones of each feed that expired or exceed its byte budget.
 
     ``segments``: (feed, seq, bytes, last_ingest_ns). Feeds among ``holds`` keep all.
+    With a column ``floor_seq``, segments below it are gone already and count for nothing.
     """
     if holds is not None:
         segments = segments.join(holds.select("feed").distinct(), "feed", "left_anti")
+    if "floor_seq" in segments.columns:
+        segments = segments.where(F.col("floor_seq").isNull() | (F.col("seq") >= F.col("floor_seq")))
     w = W.partitionBy("feed")
     rest = F.sum("bytes").over(w.orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, 0))
     expired = F.lit(False) if expire_ns is None else F.col("last_ingest_ns") + expire_ns < now_ns
@@ -25,6 +25,15 @@ def retention(segments: DataFrame, now_ns: int, expire_ns: int | None, max_bytes
     return d.withColumn("__keeper", keeper).where(F.col("__keeper").isNull() | (F.col("seq") < F.col("__keeper"))).drop("__rest", "__goes", "__keeper")
 
 
+def sweep(segments: DataFrame, now_ns: int, expire_ns: int | None, max_bytes: int | None, holds: DataFrame, erased: DataFrame) -> DataFrame:
+    """(feed, seq, cause) of every segment to destroy: a hold freezes a feed, an erased one goes whole, the rest as :func:`retention` says."""
+    free = segments.join(holds.select("feed").distinct(), "feed", "left_anti")
+    gone = erased.select("feed").distinct()
+    purged = free.join(gone, "feed", "left_semi").select("feed", "seq", F.lit("erased").alias("cause"))
+    rest = retention(free.join(gone, "feed", "left_anti"), now_ns, expire_ns, max_bytes)
+    return purged.unionByName(rest.select("feed", "seq", F.lit("retention").alias("cause")))
+
+
 def effective_policy(feeds: DataFrame, domains: DataFrame, fields: list[str]) -> DataFrame:
     """Each feed's policy: its own field, else that of its longest matching domain.
 
@@ -54,57 +63,6 @@ def access(requests: DataFrame, grants: DataFrame) -> DataFrame:
     )
 
 
-def scoped_signals(signals: DataFrame, feed: str, domain: str, now_ns: int, look_back_ns: int = 24 * 3600 * 10**9, cap: int = 128) -> DataFrame:
-    """The latest ``cap`` signals of a feed's scope (feed before domain before node) with how many more there were.
-
-    Undated signals are kept; the cap is the report's length.
-    """
-    rank = F.when(F.col("scope") == f"feed:{feed}", 0).when(F.col("scope") == f"domain:{domain}", 1).when(F.startswith("scope", F.lit("node:")), 2)
-    d = signals.withColumn("scope_rank", rank).where("scope_rank is not null")
-    d = d.where(F.col("at_ns").isNull() | (F.col("at_ns") >= now_ns - look_back_ns))
-    total = d.agg(F.greatest(F.count(F.lit(1)) - cap, F.lit(0)).alias("truncated"))
-    top = d.orderBy("scope_rank", F.desc_nulls_last("at_ns"), "signal_id").limit(cap)
-    return top.crossJoin(F.broadcast(total))
-
-
-def severity_rank(name: str):
-    return F.array_position(F.array(*[F.lit(x) for x in SEVERITY]), F.col(name)) - 1
-
-
-def explain(findings: DataFrame, stages: list[str], per_stage: int = 64) -> DataFrame:
-    """(stage, status, findings): a stage is as bad as its worst finding; stages without findings are healthy."""
-    listed = findings.sparkSession.createDataFrame([(i, s) for i, s in enumerate(stages)], "stage_order int, stage string")
-    worst = findings.groupBy("stage").agg(F.max(severity_rank("severity")).alias("__w"), F.least(F.count(F.lit(1)), F.lit(per_stage)).alias("findings"))
-    names = F.array(*[F.lit(x) for x in SEVERITY])
-    d = listed.join(worst, "stage", "left")
-    return d.select("stage_order", "stage", F.get(names, F.coalesce("__w", F.lit(0)).cast("int")).alias("status"), F.coalesce("findings", F.lit(0)).alias("findings"))
-
-
-def recommend(findings: DataFrame, k: int = 16) -> DataFrame:
-    """The ``k`` gravest findings, ranked by severity, then stage order and id."""
-    top = findings.withColumn("__s", severity_rank("severity")).orderBy(F.desc("__s"), "stage_order", "finding_id").limit(k)
-    nth = F.row_number().over(W.orderBy(F.desc("__s"), "stage_order", "finding_id"))  # k rows
-    return top.withColumn("rank", nth).drop("__s")
-
-
-def node_findings(nodes: DataFrame) -> DataFrame:
-    """(node, severity, reason) of nodes that are not eligible for new storage."""
-    severity = F.when(F.col("exclusion").isin("draining", "retired"), "advisory").otherwise("degraded")
-    return nodes.select("node", F.explode("exclusions").alias("exclusion")).select("node", severity.alias("severity"), F.col("exclusion").alias("reason"))
-
-
-def subscription_findings(owners: DataFrame, live: DataFrame) -> DataFrame:
-    """(subscription, severity, reason): no owner or a dead one is degraded, an unknown one advisory, paused advisory."""
-    d = owners.join(live, "owner", "left")
-    severity = (
-        F.when(F.col("owner").isNull(), F.struct(F.lit("degraded").alias("s"), F.lit("no owner").alias("r")))
-        .when(F.col("alive") == F.lit(False), F.struct(F.lit("degraded").alias("s"), F.lit("owner dead").alias("r")))
-        .when(F.col("alive").isNull(), F.struct(F.lit("advisory").alias("s"), F.lit("owner unknown").alias("r")))
-        .when(F.col("paused"), F.struct(F.lit("advisory").alias("s"), F.lit("paused").alias("r")))
-    )
-    return d.withColumn("f", severity).where("f is not null").select("subscription", F.col("f")["s"].alias("severity"), F.col("f")["r"].alias("reason"))
-
-
 def tier_of(segments: DataFrame, now_ns: int, tier_after_ns: int) -> DataFrame:
     """Where each segment stands: open ones stay, sealed ones move once older than the delay."""
     old = F.col("last_ingest_ns") + tier_after_ns <= now_ns

@@ -14,7 +14,9 @@ from keyfold.functions import typed
 from keyfold.functions.ordering import with_running_max
 from keyfold.plans.declarations import Miss, WindowPipe
 
-LATE, KEY_CAP, BYTE_CAP = -1, -2, -4
+#: What stands in no pane: late records of a group, and what a cap refused under its own name.
+SENTINEL = -1
+KEY_CAP, BYTE_CAP = "__keycap__", "__bytecap__"
 #: Bytes of a stored row beside its group: length, pane and accumulator.
 ROW_BYTES = 4 + 8 + 26
 
@@ -24,7 +26,7 @@ def forward(feed: DataFrame, where: Column | None = None) -> DataFrame:
     return feed if where is None else feed.where(where)
 
 
-def _projected(feed: DataFrame, pipe: WindowPipe) -> DataFrame:
+def projected(feed: DataFrame, pipe: WindowPipe) -> DataFrame:
     """Records with a usable group: ``g`` (typed), ``value`` and ``pane``."""
     instant = "event_time_ns" if pipe.clock == "event" else "ingest_time_ns"
     value = typed.json_value(F.col("payload"), pipe.value_path) if pipe.value_path else typed.i64(F.lit(0))
@@ -32,80 +34,99 @@ def _projected(feed: DataFrame, pipe: WindowPipe) -> DataFrame:
     return d.where(F.col("g")["tag"] != typed.NULL).withColumn("pane", F.expr(f"greatest({instant}, 0L) div {pipe.pane_ns}L"))
 
 
-def _folded(d: DataFrame, posting: int, pane: Column, counted: Column) -> DataFrame:
-    """(group_tag, group_value, pane, posting, count, sum) of the rows of ``d``."""
+def _folded(d: DataFrame, *more: str) -> DataFrame:
+    """(group_tag, group_value, pane, posting, count, sum) of rows with ``g``, ``row_pane`` (-1: sentinel) and ``counted``."""
     return (
-        d.groupBy(F.col("g")["tag"].alias("group_tag"), typed.shown(F.col("g")).alias("group_value"), pane.alias("pane"))
-        .agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.sum(counted.cast("decimal(19,0)")), F.lit(0)).cast("decimal(38,0)").alias("sum"))
-        .select("group_tag", "group_value", "pane", F.lit(posting).alias("posting"), "count", "sum")
+        d.groupBy(F.col("g")["tag"].alias("group_tag"), typed.shown(F.col("g")).alias("group_value"), F.col("row_pane").alias("pane"), *more)
+        .agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.sum(F.col("counted").cast("decimal(19,0)")), F.lit(0)).cast("decimal(38,0)").alias("sum"))
+        .select("group_tag", "group_value", "pane", F.when(F.col("pane") < 0, SENTINEL).otherwise(0).alias("posting"), *more, "count", "sum")
     )
 
 
-def _admitted(d: DataFrame, limit_keys: int) -> DataFrame:
-    """The first ``limit_keys`` (at most 512) groups in typed order."""
-    return d.select("g").distinct().orderBy("g").limit(limit_keys).withColumn("__ok", F.lit(True))
+def admitted_groups(d: DataFrame, limit_keys: int) -> DataFrame:
+    """The first ``limit_keys`` (at most 512) groups ``g`` in typed order."""
+    return d.select("g").distinct().orderBy("g").limit(limit_keys)
 
 
-def _within_bytes(d: DataFrame, limit_bytes: int) -> DataFrame:
+def _within_bytes(d: DataFrame, limit_bytes: int, held: DataFrame | None = None) -> DataFrame:
     """(g, row_pane) of the rows that fit ``limit_bytes`` (at most 256 KiB) in the order they are first seen.
 
-    The first refusal falls among the first ``limit / ROW_BYTES`` rows, which
-    the driver adds up; after it only rows smaller than the rest still fit, and
-    each of these few is looked up.
+    A row costs its group's bytes and ``ROW_BYTES``; rows ``held`` already cost theirs
+    first. Of the rows of one cost no more than ``limit / cost`` can ever fit, and no
+    others than the first of them, so the driver goes through a bounded list in one fetch.
     """
-    cost = F.octet_length(typed.key_bytes(F.col("g"))).cast("long") + (1 + ROW_BYTES)
+    cost = typed.stored_size(F.col("g")) + ROW_BYTES
     rows = d.groupBy("g", "row_pane").agg(F.min("pos").alias("first_pos")).withColumn("cost", cost)
+    left, fitting = limit_bytes, []
+    if held is not None:
+        left -= held.agg(F.sum(cost)).first()[0] or 0
+        rows = rows.join(held, ["g", "row_pane"], "left_anti")
     order = ["first_pos", "g", "row_pane"]
-    fitting, left, last = [], limit_bytes, None
-    for r in rows.orderBy(*order).limit(limit_bytes // ROW_BYTES + 1).collect():
-        last = r
-        if r["cost"] > left:
-            break
-        fitting.append((r["g"], r["row_pane"]))
-        left -= r["cost"]
-    while last is not None:
-        later = rows.where((F.col("first_pos") > last["first_pos"]) & (F.col("cost") <= left))
-        last = later.orderBy(*order).first() if left > ROW_BYTES else None
-        if last is not None:
-            fitting.append((last["g"], last["row_pane"]))
-            left -= last["cost"]
-    return d.sparkSession.createDataFrame(fitting, f"g {typed.TYPE}, row_pane long").withColumn("__fits", F.lit(True))
-
-
-def _cap_row(refused: DataFrame, name: str, posting: int) -> DataFrame:
-    d = refused.agg(F.count(F.lit(1)).alias("count")).where("count > 0")
-    return d.select(
-        F.lit(typed.TEXT).cast("tinyint").alias("group_tag"), F.lit(name).alias("group_value"), F.lit(-1).cast("long").alias("pane"),
-        F.lit(posting).alias("posting"), "count", F.lit(0).cast("decimal(38,0)").alias("sum"),
-    )
+    nth = F.row_number().over(W.partitionBy("cost").orderBy(*order))
+    seen = rows.withColumn("nth", nth).where(F.col("nth") <= limit_bytes // ROW_BYTES).where(F.col("nth") * F.col("cost") <= limit_bytes)
+    for r in seen.orderBy(*order).collect():
+        if r["cost"] <= left:
+            fitting.append((r["g"], r["row_pane"]))
+            left -= r["cost"]
+    found = d.sparkSession.createDataFrame(fitting, f"g {typed.TYPE}, row_pane long")
+    return found if held is None else found.unionByName(held)
+
+
+def _refused(d: DataFrame, refused: Column, name: str) -> DataFrame:
+    """``d`` with the refused rows under the sentinel group ``name``, counted but not summed."""
+    return d.withColumns(
+        {
+            "g": F.when(refused, typed.text(F.lit(name))).otherwise(F.col("g")),
+            "row_pane": F.when(refused, F.lit(SENTINEL).cast("long")).otherwise(F.col("row_pane")),
+            "counted": F.when(refused, F.lit(0).cast("long")).otherwise(F.col("counted")),
+        }
+    )
 
 
-def window(feed: DataFrame, pipe: WindowPipe) -> DataFrame:
-    """One fold of the whole feed: pane rows, late rows (posting -1), key-cap (-2) and byte-cap (-4) rows.
+def window_rows(feed: DataFrame, pipe: WindowPipe, admitted: DataFrame | None = None, horizon_ns: int = 0) -> DataFrame:
+    """Each record's ``g``, ``row_pane`` (-1: a sentinel row) and ``counted``; records that count nowhere are left out.
 
-    A byte limit needs ``pos``, as rows are admitted in delivery order.
+    ``admitted`` names the groups that a key cap lets through; a watermark pipe judges
+    lateness by ``horizon_ns``.
     """
-    d = _projected(feed, pipe)
-    parts = []
-    if pipe.limit_keys:
-        d = d.join(F.broadcast(_admitted(d, pipe.limit_keys)), "g", "left")
-        parts.append(_cap_row(d.where(F.col("__ok").isNull()), "__keycap__", KEY_CAP))
-        d = d.where(F.col("__ok"))
+    d = projected(feed, pipe)
     late = F.lit(False)
-    if pipe.clock == "event" and pipe.max_late_ns is not None:
+    if pipe.watermark_ns is not None:
+        end = (F.col("pane") + 1) * pipe.pane_ns
+        late = (end <= horizon_ns) & (F.lit(horizon_ns) > end + pipe.grace_ns)
+    elif pipe.clock == "event" and pipe.max_late_ns is not None:
         late = F.col("ingest_time_ns") - F.col("event_time_ns") > pipe.max_late_ns
     usable = F.col("value")["tag"] == typed.I64
-    if pipe.limit_bytes:
-        d = d.where(late | usable).withColumn("row_pane", F.when(late, -1).otherwise(F.col("pane")).cast("long"))
-        d = d.join(F.broadcast(_within_bytes(d, pipe.limit_bytes)), ["g", "row_pane"], "left")
-        parts.append(_cap_row(d.where(F.col("__fits").isNull()), "__bytecap__", BYTE_CAP))
-        d = d.where(F.col("__fits"))
-    if pipe.clock == "event" and pipe.max_late_ns is not None:
-        parts.append(_folded(d.where(late), LATE, F.lit(-1).cast("long"), F.lit(0)))
-    out = _folded(d.where(~late & usable), 0, F.col("pane"), F.col("value")["i"])
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+    capped = F.lit(False)
+    if admitted is not None:
+        d = d.join(F.broadcast(admitted.withColumn("__ok", F.lit(True))), "g", "left")
+        capped = F.col("__ok").isNull()
+    d = d.withColumns({"__late": late & ~capped, "__capped": capped}).where(F.col("__capped") | F.col("__late") | usable)
+    d = d.withColumns(
+        {
+            "row_pane": F.when(F.col("__late"), SENTINEL).otherwise(F.col("pane")).cast("long"),
+            "counted": F.when(F.col("__late"), F.lit(0).cast("long")).otherwise(F.col("value")["i"]),
+        }
+    )
+    return _refused(d, F.col("__capped"), KEY_CAP) if admitted is not None else d
+
+
+def bytes_capped(d: DataFrame, limit_bytes: int, held: DataFrame | None = None) -> DataFrame:
+    """:func:`window_rows` with those beyond the byte limit under its sentinel; ``held`` (g, row_pane) are rows there are."""
+    fits = _within_bytes(d.where(~F.col("__capped")), limit_bytes, held).withColumn("__fits", F.lit(True))
+    d = d.join(F.broadcast(fits), ["g", "row_pane"], "left")
+    return _refused(d, F.col("__fits").isNull() & ~F.col("__capped"), BYTE_CAP)
+
+
+def window(feed: DataFrame, pipe: WindowPipe) -> DataFrame:
+    """One fold of the whole feed: pane rows, and sentinel rows (posting -1) for late records and each cap.
+
+    Records are parsed once and meet in one aggregate. A byte limit needs ``pos``,
+    as rows are admitted in delivery order.
+    """
+    admitted = admitted_groups(projected(feed, pipe), pipe.limit_keys) if pipe.limit_keys else None
+    d = window_rows(feed, pipe, admitted)
+    return _folded(bytes_capped(d, pipe.limit_bytes) if pipe.limit_bytes else d)
 
 
 def with_bounds(panes: DataFrame, pane_ns: int) -> DataFrame:
@@ -126,19 +147,43 @@ def disposition(panes: DataFrame, pipe: WindowPipe, now_ns: int, horizon_ns: int
     return with_bounds(panes, pipe.pane_ns).withColumn("disposition", state)
 
 
-def emission_payload() -> Column:
-    """The JSON text of an emitted pane."""
-    return F.to_json(
-        F.struct(
-            F.col("group_value").alias("group"),
-            F.col("pane"),
-            F.col("pane_start_ns").cast("string").alias("pane_start_ns"),
-            F.col("pane_end_ns").cast("string").alias("pane_end_ns"),
-            F.col("count"),
-            F.col("sum").cast("string").alias("sum"),
-            F.col("revision"),
-        )
-    )
+def _quoted(text: Column) -> Column:
+    """``text`` as a JSON string."""
+    array = F.to_json(F.array(text))
+    return F.substring(array, F.lit(2), F.length(array) - 2)
+
+
+def emission_payload(pipe: WindowPipe, store_seq: Column, revision: Column) -> Column:
+    """The JSON text of an emitted pane.
+
+    The group keeps its JSON type; instants, sums, averages, the store's sequence and
+    the revision are decimal strings; a count has neither sum nor average.
+    """
+    tag, value = F.col("group_tag"), F.col("group_value")
+    group = F.when(tag.isin(typed.BOOL, typed.I64), value).when(tag.isin(typed.TEXT, typed.BYTES), _quoted(value)).otherwise("null")
+    null = F.lit("null")
+
+    def string(c: Column) -> Column:
+        return F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+
+    fields = {
+        "group": group,
+        "pane": F.col("pane").cast("string"),
+        "pane_start_ns": string(F.col("pane_start_ns")),
+        "pane_end_ns": string(F.col("pane_end_ns")),
+        "count": F.col("count").cast("string"),
+        "sum": string(F.col("sum")) if pipe.value_path else null,
+        "average": string(typed.plain_decimal(average())) if pipe.average else null,
+        "store_seq": string(store_seq),
+        "revision": string(F.greatest(revision, F.lit(1))),
+    }
+    parts = [x for name, c in fields.items() for x in (F.lit(f',"{name}":'), c)]
+    return F.concat(F.lit("{"), F.lit('"group":'), *parts[1:], F.lit("}"))
+
+
+def average() -> Column:
+    """The mean of a pane's values, as a double."""
+    return F.col("sum").cast("double") / F.greatest(F.col("count"), F.lit(1))
 
 
 def rolling_totals(panes: DataFrame, panes_per_window: int = 16) -> DataFrame:
@@ -164,7 +209,7 @@ def window_by_watermark(feed: DataFrame, pipe: WindowPipe, page_records: int = 6
     still adds to it; each revision carries only the rows since the last. Panes
     that the horizon never passes are open (revision 0); late rows have posting -1.
     """
-    d = _projected(feed, pipe).withColumn("page", F.expr(f"(pos - 1) div {page_records}"))
+    d = projected(feed, pipe).withColumn("page", F.expr(f"(pos - 1) div {page_records}"))
     pages = horizons(feed, page_records, pipe.watermark_ns)
     d = d.join(pages, "page")
     end = (F.col("pane") + 1) * pipe.pane_ns
@@ -182,7 +227,8 @@ def window_by_watermark(feed: DataFrame, pipe: WindowPipe, page_records: int = 6
     )
     revision = F.row_number().over(W.partitionBy("group_tag", "group_value", "pane").orderBy(F.col("emit_page").asc_nulls_last()))
     rows = rows.withColumn("revision", F.when(F.col("emit_page").isNull(), 0).otherwise(revision)).withColumn("posting", F.lit(0))
-    late_rows = _folded(d.where(late), LATE, F.lit(-1).cast("long"), F.lit(0)).withColumns({"emit_page": F.lit(None).cast("long"), "revision": F.lit(0)})
+    late_rows = _folded(d.where(late).withColumns({"row_pane": F.lit(SENTINEL).cast("long"), "counted": F.lit(0).cast("long")}))
+    late_rows = late_rows.withColumns({"emit_page": F.lit(None).cast("long"), "revision": F.lit(0)})
     return rows.unionByName(late_rows)
 
 
@@ -212,6 +258,36 @@ def enrich(feed: DataFrame, store: DataFrame, lookup: Column, miss: Miss = Miss.
     return d.withColumn("quarantine", ~F.col("matched")) if miss is Miss.QUARANTINE else d
 
 
+def enriched_records(feed: DataFrame, store: DataFrame, lookup: Column, miss: Miss = Miss.FORWARD, applied_sequence: int = 0) -> DataFrame:
+    """``feed`` with the outcome of :func:`enrich` in each record's ``metadata``; key and payload stay as they are.
+
+    ``enrich.matched`` and ``enrich.seq`` always, ``enrich.payload`` if it is not
+    empty, ``enrich.quarantine`` on misses under QUARANTINE; entries of these names
+    that a record brings along are replaced, all others kept. ``to_quarantine`` tells
+    where a record goes.
+    """
+    quarantine = F.lit(miss is Miss.QUARANTINE) & ~F.col("matched")
+    d = enrich(feed, store, lookup, miss, applied_sequence).withColumn("to_quarantine", quarantine)
+    own = {
+        "enrich.quarantine": F.when(F.col("to_quarantine"), "true"),
+        "enrich.matched": F.col("matched").cast("string"),
+        "enrich.seq": F.col("enrich_seq").cast("string"),
+        "enrich.payload": F.col("enrich_payload"),
+    }
+    entries = [F.struct(F.lit(k).alias("key"), v.cast("binary").alias("value")) for k, v in own.items()]
+    before = F.coalesce(F.map_entries("metadata"), F.array().cast("array<struct<key:string,value:binary>>"))
+    kept = F.filter(before, lambda e: ~e["key"].isin(*own))
+    added = F.filter(F.array(*entries), lambda e: e["value"].isNotNull())
+    return d.withColumn("metadata", F.map_from_entries(F.concat(kept, added))).drop("matched", "enrich_payload", "enrich_seq", "quarantine")
+
+
+def strict_store(store: DataFrame, committed_sequence: int, applied_sequence: int) -> DataFrame:
+    """``store`` for a strict read: refused while it is behind what is committed."""
+    if applied_sequence < committed_sequence:
+        raise RuntimeError(f"the store has applied {applied_sequence} of {committed_sequence} committed changes")
+    return store
+
+
 def by_named_key(store: DataFrame, named: str) -> DataFrame:
     """``store`` keyed by a secondary key; of several rows the smallest key wins."""
     return store.groupBy(F.col(named).alias("store_key")).agg(F.min_by("store_payload", "store_key").alias("store_payload"))

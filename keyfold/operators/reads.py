@@ -24,15 +24,32 @@ def tail(feed: DataFrame, n: int) -> DataFrame:
     return feed.orderBy(F.desc("pos")).limit(n).orderBy("pos")
 
 
+def new_only(feed: DataFrame) -> DataFrame:
+    """One row: the end position, after which only new records follow."""
+    return feed.agg(F.coalesce(F.max("pos"), F.lit(0)).alias("after_pos"))
+
+
+def lookup(feed: DataFrame, positions: DataFrame) -> DataFrame:
+    """The record of each of ``positions`` (column ``pos``); fails if a position names none."""
+    known = feed.withColumn("__known", F.lit(True))
+    d = positions.select("pos").distinct().join(known, "pos", "left")
+    unknown = F.raise_error(F.concat(F.lit("no record at position "), F.col("pos").cast("string")))
+    return d.where(F.when(F.col("__known").isNull(), unknown.cast("boolean")).otherwise(F.lit(True))).drop("__known")
+
+
 def read_within_bytes(feed: DataFrame, after: int, limit: int, max_bytes: int) -> DataFrame:
     """The longest run after ``after`` of at most ``limit`` records and ``max_bytes`` of payload.
 
-    At most ``limit`` rows take part in the running sum. A first record over the
-    budget gives no rows; callers that must tell that apart ask for one record.
+    At most ``limit`` rows take part in the running sum. Fails if the first record is
+    over the budget by itself, as reading on could never get past it.
     """
     page = read_after(feed, after, limit)
-    used = F.sum(F.octet_length("payload")).over(W.orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
-    return page.withColumn("used_bytes", used).where(F.col("used_bytes") <= max_bytes)
+    w = W.orderBy("pos")
+    used = F.sum(F.octet_length("payload")).over(w.rowsBetween(W.unboundedPreceding, 0))
+    d = page.withColumns({"used_bytes": used, "__nth": F.row_number().over(w)})
+    too_large = F.raise_error(F.lit(f"the first record is over {max_bytes} bytes")).cast("boolean")
+    over = F.col("used_bytes") > max_bytes
+    return d.where(F.when(over & (F.col("__nth") == 1), too_large).otherwise(~over)).drop("__nth")
 
 
 def search(
@@ -64,12 +81,26 @@ def search(
     return scanned
 
 
-def append_outcomes(attempts: DataFrame, scope: list[str], order: str, digest: str) -> DataFrame:
-    """What an idempotent log does with each attempt of a ``scope`` (producer and sequence, or request id).
+def search_progress(feed: DataFrame, after: int = 0, max_scan: int = MAX_SCAN) -> DataFrame:
+    """One row: how many records a search from ``after`` goes through, and where the next one starts if any are left."""
+    inside = (F.col("pos") > after) & (F.col("pos") <= after + max_scan)
+    d = feed.where(F.col("pos") > after).agg(F.count_if(inside).alias("scanned"), F.max("pos").alias("__end"))
+    exhausted = F.coalesce(F.col("__end") <= after + max_scan, F.lit(True))
+    return d.select("scanned", exhausted.alias("exhausted"), F.when(~exhausted, F.lit(after + max_scan)).cast("long").alias("next_after"))
+
+
+def append_outcomes(attempts: DataFrame, scope: list[str], order: str, digest: str, key: str | None = None) -> DataFrame:
+    """What an idempotent log does with each attempt of a ``scope`` (producer and sequence, or session and request id).
 
     The first attempt is accepted; later ones with its digest are deduplicated
-    to it, others conflict.
+    to it, others conflict. With ``key``, attempts without one are refused and
+    decide nothing for later ones.
     """
+    if key is not None:
+        empty = F.coalesce(F.octet_length(key) == 0, F.lit(True))
+        rest = append_outcomes(attempts.where(~empty), scope, order, digest)
+        refused = attempts.where(empty).withColumns({"outcome": F.lit("refused"), "accepted_at": F.lit(None).cast(attempts.schema[order].dataType)})
+        return rest.unionByName(refused)
     w = W.partitionBy(*scope).orderBy(order)
     first = F.first(digest).over(w)
     nth = F.row_number().over(w)

@@ -82,6 +82,18 @@ def accumulate(rows: DataFrame, deltas: DataFrame, key: list[str]) -> DataFrame:
     return rows.unionByName(deltas).groupBy(*key).agg(F.sum("count").alias("count"), F.sum("sum").alias("sum"))
 
 
+def accumulate_claiming(deltas: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """(key, value, count, sum, conflicted): what each key adds up to, and whether its claim of ``value`` is another's.
+
+    The first key to name a value holds it; a key that names a held one loses its
+    entry, never its sum. A key keeps to one value. Null values claim nothing.
+    """
+    rows = deltas.groupBy(key, value).agg(F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min(order).alias("__first"))
+    holder = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.min("__first").alias("__holder"))
+    d = rows.join(holder, value, "left").withColumn("conflicted", F.coalesce(F.col("__first") != F.col("__holder"), F.lit(False)))
+    return d.select(key, value, "count", "sum", "conflicted")
+
+
 def get_by(store: DataFrame, values: dict[str, Column], limit: int = MAX_ROWS, key: str = "key") -> DataFrame:
     """Rows whose named tuple is exactly ``values``, in key order."""
     for name, value in values.items():

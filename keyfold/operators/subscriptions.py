@@ -16,6 +16,35 @@ def start_at(feed: DataFrame, threshold_ns: int) -> DataFrame:
     return feed.where(F.col("ingest_time_ns") < threshold_ns).agg(F.coalesce(F.max("pos"), F.lit(0)).alias("after_pos"))
 
 
+def start(feed: DataFrame, at: str, value: int | None = None) -> DataFrame:
+    """One row ``after_pos`` for a start at BEGINNING, NOW, a TIMESTAMP of the ingest clock or after a CURSOR.
+
+    A cursor that names no record is refused.
+    """
+    if at == "BEGINNING":
+        return feed.sparkSession.createDataFrame([(0,)], "after_pos long")
+    if at == "NOW":
+        return feed.agg(F.coalesce(F.max("pos"), F.lit(0)).cast("long").alias("after_pos"))
+    if at == "TIMESTAMP":
+        return start_at(feed, value)
+    if at == "CURSOR":
+        found = feed.where(F.col("pos") == value).agg(F.max("pos").alias("after_pos"))
+        return found.select(F.coalesce("after_pos", F.raise_error(F.lit(f"no record at position {value}")).cast("long")).alias("after_pos"))
+    raise ValueError(f"no such start: {at}")
+
+
+def fetch(feed: DataFrame, covered: DataFrame, delivered: DataFrame, deferred: DataFrame, limit: int, key: str = "key") -> DataFrame:
+    """The next ``limit`` records for a member: those deferred to it before come first, then new ones of its windows.
+
+    ``delivered`` and ``deferred`` hold positions; a deferred record is due once its
+    window is covered, whatever was delivered after it.
+    """
+    d = divided(feed, covered, key).where("deliver").join(delivered.select("pos"), "pos", "left_anti")
+    back = deferred.select("pos", F.lit(0).alias("__turn")).distinct()
+    d = d.join(back, "pos", "left").withColumn("redelivered", F.col("__turn").isNotNull())
+    return d.orderBy(F.desc("redelivered"), "pos").limit(limit).drop("__turn", "deliver")
+
+
 def delayed(feed: DataFrame, now_ns: int, delay_ns: int, key: str = "key") -> DataFrame:
     """Records old enough to deliver; none overtakes an earlier parked record of its key."""
     parked = F.col("ingest_time_ns") > now_ns - delay_ns

@@ -30,6 +30,7 @@ class WindowPipe:
     expire_ns: int | None = None
     limit_keys: int | None = None
     limit_bytes: int | None = None
+    average: bool = False
 
     def __post_init__(self) -> None:
         if self.window_ns < 1:
@@ -42,6 +43,8 @@ class WindowPipe:
             raise ValueError("a watermark needs the event clock")
         if self.grace_ns and self.watermark_ns is None:
             raise ValueError("grace needs a watermark")
+        if self.average and self.value_path is None:
+            raise ValueError("an average needs a value")
         if self.limit_keys is not None and not 1 <= self.limit_keys <= MAX_KEYS:
             raise ValueError(f"between 1 and {MAX_KEYS} keys")
         if self.limit_bytes is not None and not 1 <= self.limit_bytes <= MAX_BYTES:

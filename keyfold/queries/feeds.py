@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from keyfold.functions import typed
 from keyfold.operators import pipes, reads, subscriptions
 from keyfold.plans.declarations import Miss
-from keyfold.sources.feeds import FEED_SQL, events_feed, positioned
+from keyfold.sources.feeds import FEED_SQL, events_feed, stored_feed
 from keyfold.sources.shared import table
 
 WITH = "WITH " + FEED_SQL
@@ -16,7 +16,7 @@ FROM_NS, TO_NS = 1704153600000000000, 1705017600000000000  # 2024-01-02 to 2024-
 
 
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return positioned(events_feed(spark, sf_dir))
+    return stored_feed(spark, sf_dir)
 
 
 def feed_read_after(spark, sf_dir):
@@ -44,6 +44,21 @@ def feed_search_key(spark, sf_dir):
     return reads.search(_feed(spark, sf_dir), key="k-7").select("pos", "event_id")
 
 
+def feed_search_progress(spark, sf_dir):
+    """A search from position 200 that goes through 5,000 records."""
+    return reads.search_progress(_feed(spark, sf_dir), 200, 5000)
+
+
+def feed_new_only(spark, sf_dir):
+    return reads.new_only(_feed(spark, sf_dir))
+
+
+def feed_lookup(spark, sf_dir):
+    """The records at the positions of every tenth customer's number."""
+    wanted = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 5 + 1).alias("pos")).where("pos <= 700")
+    return reads.lookup(_feed(spark, sf_dir), wanted).select("pos", "event_id", "key")
+
+
 def _attempts(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 10).alias("producer"), "event_type", "props")
     first = events.select("event_id", "producer", "props", (F.col("event_id") * 4).alias("attempt_no"))
@@ -63,6 +78,15 @@ def feed_dedup(spark, sf_dir):
     return reads.append_outcomes(_attempts(spark, sf_dir), ["producer", "event_id"], "attempt_no", "digest").select("producer", "event_id", "attempt_no", "outcome", "accepted_at")
 
 
+def feed_request_dedup(spark, sf_dir):
+    """Retries by (session, request id); attempts without a key are refused."""
+    d = _attempts(spark, sf_dir).select(
+        (F.col("producer") % 3).alias("session"), F.concat(F.lit("r"), F.expr("event_id div 2")).alias("request_id"), "attempt_no", "digest",
+        F.when(F.col("attempt_no") % 9 != 0, F.concat(F.lit("k"), "producer")).otherwise("").alias("key"),
+    )
+    return reads.append_outcomes(d, ["session", "request_id"], "attempt_no", "digest", "key").select("session", "request_id", "attempt_no", "outcome", "accepted_at")
+
+
 def feed_sequence_classify(spark, sf_dir):
     d = _attempts(spark, sf_dir).withColumn("sequence", F.expr("event_id div 10"))
     return reads.classify_sequences(d, "producer", "attempt_no", "sequence").select("producer", "attempt_no", "sequence", "kind")
@@ -80,6 +104,33 @@ def extract_typed(spark, sf_dir):
     return d.select("event_id", typed.is_json(F.col("payload")).alias("json"), *[c for n in ("customer", "cents", "tag", "k", "missing", "object") for c in (f"{n}_tag", n)])
 
 
+def extract_bytes(spark, sf_dir):
+    """Keys and metadata as typed bytes; a record without the entry gives null."""
+    d = events_feed(spark, sf_dir)
+    for name, value in (("record_key", F.col("key").cast("binary")), ("tenant", F.try_element_at("metadata", F.lit("tenant"))), ("absent", F.try_element_at("metadata", F.lit("none")))):
+        v = typed.bytes_(value)
+        d = d.withColumns({f"{name}_tag": v["tag"].cast("int"), name: typed.shown(v)})
+    return d.select("event_id", *[c for n in ("record_key", "tenant", "absent") for c in (f"{n}_tag", n)])
+
+
+def scalar_functions(spark, sf_dir):
+    """Sums and products at the ends of their range, and identities that follow from their parts."""
+    e, big = F.col("event_id"), F.lit(2**63 - 1)
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        typed.saturating_add(F.when(e % 3 == 0, big - 5).otherwise(e), e).alias("added"),
+        typed.saturating_add(F.when(e % 3 == 0, -big).otherwise(-e), -e).alias("taken"),
+        typed.saturating_multiply(F.when(e % 5 == 0, big).otherwise(e), F.when(e % 2 == 0, -e).otherwise(e)).alias("product"),
+        typed.derived_id("copy", F.col("event_type"), F.col("user_id")).alias("derived"),
+    )
+
+
+def lookup_keys(spark, sf_dir):
+    """What a value of each type looks a store row up by."""
+    d = events_feed(spark, sf_dir)
+    return d.select("event_id", F.base64(typed.key_bytes(typed.json_value(F.col("payload"), "tag"))).alias("lookup"), F.base64(typed.key_bytes(typed.json_value(F.col("payload"), "customer"))).alias("customer"))
+
+
 def key_tokens(spark, sf_dir):
     d = events_feed(spark, sf_dir).select("key").distinct()
     return d.select("key", typed.key_token(F.col("key")).alias("token"), typed.work_window(F.col("key")).alias("work_window"))
@@ -115,6 +166,24 @@ def enrich_named(spark, sf_dir):
     return pipes.enrich(events_feed(spark, sf_dir), by_nation, F.col("user_id") % 30).select("event_id", "matched", "enrich_payload")
 
 
+def _metadata(spark, sf_dir, miss):
+    feed = events_feed(spark, sf_dir)
+    stale = F.create_map(F.lit("enrich.matched"), F.lit(b"old"), F.lit("trace"), F.col("event_id").cast("string").cast("binary"))
+    feed = feed.withColumn("metadata", F.when(F.col("event_id") % 2 == 0, stale).otherwise(F.col("metadata")))
+    d = pipes.enriched_records(feed, _store(spark, sf_dir).drop("c_nationkey"), F.col("user_id").cast("string"), miss, 7)
+    names = {"matched": "enrich.matched", "seq": "enrich.seq", "enriched": "enrich.payload", "quarantined": "enrich.quarantine", "trace": "trace", "tenant": "tenant"}
+    shown = [F.try_element_at("metadata", F.lit(v)).cast("string").alias(k) for k, v in names.items()]
+    return d.select("event_id", "payload", "to_quarantine", *shown, F.size(F.map_keys("metadata")).alias("entries"))
+
+
+def enrich_metadata(spark, sf_dir):
+    return _metadata(spark, sf_dir, Miss.FORWARD)
+
+
+def enrich_metadata_quarantine(spark, sf_dir):
+    return _metadata(spark, sf_dir, Miss.QUARANTINE)
+
+
 def domain_union(spark, sf_dir):
     events = events_feed(spark, sf_dir).select("event_id", "key", "ingest_time_ns")
     orders = table(spark, sf_dir, "orders").select(
@@ -138,7 +207,15 @@ def _shown(path: str, name: str) -> str:
     )
 
 
-QUERIES = {f.__name__: f for f in (feed_read_after, feed_read_event_time, feed_tail, feed_read_bytes, feed_search, feed_search_key, feed_dedup, feed_sequence_classify, feed_stats, extract_typed, key_tokens, pipe_forward, enrich_forward, enrich_drop, enrich_quarantine, enrich_named, domain_union)}
+def _wire(quarantine: bool) -> str:
+    """Enriched records by the wire form: own entries replaced, all others kept."""
+    q = "NOT matched" if quarantine else "false"
+    return f""", w AS (SELECT feed.event_id, payload, matched, {q} AS q, enrich_payload, enrich_seq, CASE WHEN feed.event_id % 2 = 0 THEN feed.event_id::VARCHAR END AS trace, CASE WHEN feed.event_id % 2 <> 0 THEN tenant END AS tenant FROM feed JOIN e ON e.event_id = feed.event_id)
+      SELECT event_id, payload, q AS to_quarantine, matched::VARCHAR AS matched, enrich_seq::VARCHAR AS seq, enrich_payload AS enriched, CASE WHEN q THEN 'true' END AS quarantined, trace, tenant,
+        (2 + q::INT + (enrich_payload IS NOT NULL)::INT + (trace IS NOT NULL)::INT + (tenant IS NOT NULL)::INT) AS entries FROM w"""
+
+
+QUERIES = {f.__name__: f for f in (feed_read_after, feed_read_event_time, feed_tail, feed_read_bytes, feed_search, feed_search_key, feed_search_progress, feed_new_only, feed_lookup, feed_dedup, feed_request_dedup, feed_sequence_classify, feed_stats, extract_typed, extract_bytes, scalar_functions, lookup_keys, key_tokens, pipe_forward, enrich_forward, enrich_drop, enrich_quarantine, enrich_named, enrich_metadata, enrich_metadata_quarantine, domain_union)}
 SQL = {
     "feed_read_after": f"{WITH} SELECT pos, event_id, key, ingest_time_ns FROM feed WHERE pos > 500 AND pos <= 800",
     "feed_read_event_time": f"{WITH} SELECT pos, event_id, event_time_ns FROM feed WHERE event_time_ns >= {TO_NS} ORDER BY pos LIMIT 400",
@@ -156,5 +233,21 @@ SQL = {
     "enrich_drop": f"{WITH}{ENRICH} SELECT * FROM e WHERE matched",
     "enrich_quarantine": f"{WITH}{ENRICH} SELECT *, NOT matched AS quarantine FROM e",
     "enrich_named": f"{WITH}, s AS (SELECT c_nationkey AS k, arg_min(c_name, CAST(c_custkey AS VARCHAR)) AS n FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1) SELECT event_id, s.k IS NOT NULL AS matched, nullif(n, '') AS enrich_payload FROM feed LEFT JOIN s ON user_id % 30 = s.k",
+    "feed_search_progress": f"{WITH} SELECT count(*) FILTER (pos > 200 AND pos <= 5200) AS scanned, max(pos) <= 5200 AS exhausted, CASE WHEN max(pos) > 5200 THEN 5200::BIGINT END AS next_after FROM feed",
+    "feed_new_only": f"{WITH} SELECT max(pos) AS after_pos FROM feed",
+    "feed_lookup": f"{WITH} SELECT pos, event_id, key FROM feed WHERE pos IN (SELECT c_custkey * 5 + 1 FROM customer) AND pos <= 700",
+    "feed_request_dedup": f"""WITH {ATTEMPTS}, a AS (SELECT producer % 3 AS session, 'r' || (event_id // 2) AS request_id, attempt_no, digest FROM attempts),
+      f AS (SELECT *, row_number() OVER w AS n, first_value(digest) OVER w AS d, first_value(attempt_no) OVER w AS accepted_at FROM a WHERE attempt_no % 9 <> 0 WINDOW w AS (PARTITION BY session, request_id ORDER BY attempt_no))
+      SELECT session, request_id, attempt_no, CASE WHEN n = 1 THEN 'accepted' WHEN digest = d THEN 'deduplicated' ELSE 'conflict' END AS outcome, accepted_at FROM f
+      UNION ALL SELECT session, request_id, attempt_no, 'refused', NULL FROM a WHERE attempt_no % 9 = 0""",
+    "extract_bytes": f"{WITH} SELECT event_id, 3 AS record_key_tag, base64(encode(key)) AS record_key, CASE WHEN tenant IS NULL THEN 0 ELSE 3 END AS tenant_tag, base64(encode(tenant)) AS tenant, 0 AS absent_tag, NULL::VARCHAR AS absent FROM feed",
+    "scalar_functions": """WITH e AS (SELECT event_id, event_type, user_id, CASE WHEN event_id % 3 = 0 THEN 9223372036854775802 ELSE event_id END::HUGEINT AS a, CASE WHEN event_id % 3 = 0 THEN -9223372036854775807 ELSE -event_id END::HUGEINT AS b,
+        CASE WHEN event_id % 5 = 0 THEN 9223372036854775807 ELSE event_id END::HUGEINT * CASE WHEN event_id % 2 = 0 THEN -event_id ELSE event_id END AS p,
+        sha256('copy|' || strlen(event_type) || ':' || event_type || strlen(user_id::VARCHAR) || ':' || user_id) AS h FROM events)
+      SELECT event_id, least(a + event_id, 9223372036854775807)::BIGINT AS added, greatest(b - event_id, -9223372036854775808)::BIGINT AS taken, greatest(least(p, 9223372036854775807), -9223372036854775808)::BIGINT AS product,
+        substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS derived FROM e""",
+    "lookup_keys": f"{WITH} SELECT event_id, CASE WHEN json_valid(payload) THEN base64(encode(json_extract_string(payload, '$.tag'))) END AS lookup, CASE WHEN json_valid(payload) THEN base64(encode(json_extract_string(payload, '$.customer'))) END AS customer FROM feed",
+    "enrich_metadata": f"{WITH}{ENRICH}{_wire(False)}",
+    "enrich_metadata_quarantine": f"{WITH}{ENRICH}{_wire(True)}",
     "domain_union": f"{WITH} SELECT 'shop.events' AS feed, count(*) AS records, max(ingest_time_ns) AS last_ns FROM feed UNION ALL SELECT 'shop.orders', count(*), max(epoch_us(o_orderdate) * 1000) FROM orders",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from keyfold.functions import typed
 from keyfold.operators import indexes, stores, subscriptions
-from keyfold.sources.feeds import FEED_SQL, events_feed, positioned
+from keyfold.sources.feeds import FEED_SQL, events_feed, stored_feed
 from keyfold.sources.shared import table
 
 WITH = "WITH " + FEED_SQL
@@ -15,7 +15,7 @@ FIELDS = ["kind", "tag"]
 
 
 def _index(spark, sf_dir):
-    feed = positioned(events_feed(spark, sf_dir))
+    feed = stored_feed(spark, sf_dir)
     return indexes.build(feed, {"kind": typed.text(F.col("event_type")), "tag": typed.json_value(F.col("payload"), "tag")})
 
 
@@ -57,6 +57,50 @@ def index_unique_first(spark, sf_dir):
     return indexes.unique_claims(customers, "nation").select("key", typed.shown(F.col("nation")).alias("nation"), "conflicted")
 
 
+def _postings(spark, sf_dir):
+    return indexes.postings(_index(spark, sf_dir), {"by_kind": ["kind"], "by_tag": ["kind", "tag"]})
+
+
+def index_resolve(spark, sf_dir):
+    """Entries of both indexes with the rows that they stand for."""
+    rows = _index(spark, sf_dir).select("key", "event_id")
+    return indexes.resolved(_postings(spark, sf_dir), rows).select("index_name", "values", "key", "event_id")
+
+
+def index_gaps(spark, sf_dir):
+    """Entries left behind by rows that were deleted without them."""
+    return indexes.posting_gaps(_postings(spark, sf_dir), _index(spark, sf_dir).where("event_type <> 'click'"))
+
+
+def index_delete(spark, sf_dir):
+    """Every asked key's outcome; most name no row."""
+    keys = table(spark, sf_dir, "customer").select(F.concat(F.lit("k-"), F.col("c_custkey") * 3).alias("key"))
+    left, outcomes = indexes.delete(_index(spark, sf_dir), keys)
+    return outcomes.join(left.select("key", F.lit(True).alias("still")), "key", "left").select("key", "deleted", F.coalesce("still", F.lit(False)).alias("still"))
+
+
+def index_retire(spark, sf_dir):
+    return indexes.retire(_postings(spark, sf_dir), ["by_tag"])
+
+
+def index_page_bytes(spark, sf_dir):
+    """A page of rows in key order that keeps within 4 KiB of payload."""
+    d = indexes.page(_index(spark, sf_dir), ["key"], F.octet_length("payload").cast("long"), 4096)
+    return d.select("key", "event_id", "used_bytes")
+
+
+def index_latest_posting(spark, sf_dir):
+    """Which records still stand for their key."""
+    feed = stored_feed(spark, sf_dir).select("key", "pos", "event_type")
+    return indexes.latest_posting(feed, ["pos"]).select("pos", "key", "current")
+
+
+def index_claims_fold(spark, sf_dir):
+    """Unique values given up and taken again, folded by scope (no SQL; held against a plain fold in tests)."""
+    d = stored_feed(spark, sf_dir).select((F.col("event_id") % 5).alias("scope"), "key", F.when(F.col("cents") % 11 != 0, F.col("cents") % 40).alias("value"), "pos")
+    return indexes.claims_fold(d, "scope", "value")
+
+
 def _journal(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     op = F.when(F.col("event_id") == 1500, "clear").when(F.col("event_id") % 11 == 0, "delete").otherwise("put")
@@ -102,12 +146,36 @@ def store_accumulate(spark, sf_dir):
     return stores.accumulate(j.where("sum < 1000"), j.where("sum >= 1000"), ["named"])
 
 
+def store_accumulate_claims(spark, sf_dir):
+    """A key that names a value held by another loses its entry, not its sum."""
+    j = _journal(spark, sf_dir).select("key", F.expr("cast(substring(key, 3) as int) % 300").alias("value"), F.lit(1).cast("long").alias("count"), F.col("amount").alias("sum"), "seq")
+    return stores.accumulate_claiming(j, "key", "value", "seq")
+
+
+def sub_starts(spark, sf_dir):
+    """All four ways to start."""
+    feed = stored_feed(spark, sf_dir)
+    out = None
+    for at, value in (("BEGINNING", None), ("NOW", None), ("TIMESTAMP", DAY_10), ("CURSOR", 321)):
+        d = subscriptions.start(feed, at, value).select(F.lit(at).alias("start"), "after_pos")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def sub_fetch(spark, sf_dir):
+    """Deferred records of windows that are covered now come first, then what was not delivered yet."""
+    feed = stored_feed(spark, sf_dir)
+    covered = subscriptions.coverage(_leases(spark)).where("work_id in ('w-00', 'w-03', 'w-05')")
+    delivered, deferred = feed.where("pos <= 800 and event_id % 3 <> 0").select("pos"), feed.where("pos <= 800 and event_id % 3 = 0").select("pos")
+    return subscriptions.fetch(feed, covered, delivered, deferred, 300).select("pos", "event_id", "window", "redelivered")
+
+
 def sub_seek_timestamp(spark, sf_dir):
-    return subscriptions.start_at(positioned(events_feed(spark, sf_dir)), DAY_10)
+    return subscriptions.start_at(stored_feed(spark, sf_dir), DAY_10)
 
 
 def sub_delivery_delay(spark, sf_dir):
-    d = subscriptions.delayed(positioned(events_feed(spark, sf_dir)), DAY_10, 3600 * 10**9)
+    d = subscriptions.delayed(stored_feed(spark, sf_dir), DAY_10, 3600 * 10**9)
     return d.select("pos", "event_id", "key")
 
 
@@ -122,7 +190,7 @@ def sub_coverage(spark, sf_dir):
 
 def _divided(spark, sf_dir):
     covered = subscriptions.coverage(_leases(spark)).where("work_id in ('w-00', 'w-03')")
-    return subscriptions.divided(positioned(events_feed(spark, sf_dir)), covered)
+    return subscriptions.divided(stored_feed(spark, sf_dir), covered)
 
 
 def sub_windowed_deliver(spark, sf_dir):
@@ -140,12 +208,15 @@ def sub_attempts(spark, sf_dir):
 
 
 def frontier_split(spark, sf_dir):
-    acked = positioned(events_feed(spark, sf_dir)).where("pos <= 6000 and event_id % 13 <> 0")
+    """Acknowledged is what was delivered before a key's last record: that one is still out."""
+    feed = stored_feed(spark, sf_dir)
+    last = feed.groupBy("key").agg(F.max("pos").alias("__last"))
+    acked = feed.join(last, "key").where(F.col("pos") < F.col("__last"))
     return subscriptions.split_frontier(acked, "8" + "0" * 31)
 
 
 def frontier_merge(spark, sf_dir):
-    return subscriptions.merge_frontier(positioned(events_feed(spark, sf_dir)), (F.col("pos") < 4000) | (F.col("event_id") % 3 == 0))
+    return subscriptions.merge_frontier(stored_feed(spark, sf_dir), (F.col("pos") < 4000) | (F.col("event_id") % 3 == 0))
 
 
 INDEX = f"""{WITH}, x AS (
@@ -153,6 +224,7 @@ INDEX = f"""{WITH}, x AS (
     CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.tag') END AS tag_value
   FROM (SELECT * FROM feed QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos DESC) = 1)),
 i AS (SELECT key, event_id, event_type, tag_type, tag_value FROM x)"""
+POSTINGS = """, e AS (SELECT 'by_kind' AS index_name, event_type AS "values", key FROM i UNION ALL SELECT 'by_tag', event_type || '|' || coalesce(tag_value, '-'), key FROM i)"""
 STORE = """WITH j AS (SELECT event_id AS seq, CASE WHEN event_id = 1500 THEN 'clear' WHEN event_id % 11 = 0 THEN 'delete' ELSE 'put' END AS op, 'k-' || (event_id % 997) AS key,
     event_type AS named, CAST(round(value * 100) AS BIGINT) AS amount, 'm-' || (event_id // 2 * 2 + CASE WHEN event_id % 6 = 1 THEN 0 ELSE event_id % 2 END) AS mutation_id, sha256(CAST(event_id % 3 AS VARCHAR)) AS digest FROM events),
 s AS (SELECT * FROM (SELECT * FROM j WHERE op <> 'clear' AND seq > coalesce((SELECT max(seq) FROM j WHERE op = 'clear'), -1) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE op = 'put')"""
@@ -161,7 +233,7 @@ live AS (SELECT *, row_number() OVER (ORDER BY work_id) - 1 AS nth FROM leases W
 cov AS (SELECT w::INT AS window, coalesce((SELECT min(work_id) FROM live WHERE pin AND (w = i * 3 OR w = i * 3 + 1)), (SELECT work_id FROM live WHERE nth = w % (SELECT count(*) FROM live))) AS work_id FROM range(256) r(w))"""
 DIVIDED = f'{WITH}, {COVER}, d AS (SELECT feed.*, (\'0x\' || substr(sha256(key), 15, 2))::INT AS win FROM feed), c AS (SELECT "window" AS win FROM cov WHERE work_id IN (\'w-00\', \'w-03\'))'
 
-QUERIES = {f.__name__: f for f in (index_latest, index_exact, index_exact_null, index_prefix, index_range, index_range_open, index_unique_first, store_fold, store_get_by, store_range, store_iterate, store_mutations, store_unique_fold, store_accumulate, sub_seek_timestamp, sub_delivery_delay, sub_coverage, sub_windowed_deliver, sub_deferred, sub_attempts, frontier_split, frontier_merge)}
+QUERIES = {f.__name__: f for f in (index_latest, index_exact, index_exact_null, index_prefix, index_range, index_range_open, index_unique_first, index_resolve, index_gaps, index_delete, index_retire, index_page_bytes, index_latest_posting, index_claims_fold, store_fold, store_get_by, store_range, store_iterate, store_mutations, store_unique_fold, store_accumulate, store_accumulate_claims, sub_starts, sub_fetch, sub_seek_timestamp, sub_delivery_delay, sub_coverage, sub_windowed_deliver, sub_deferred, sub_attempts, frontier_split, frontier_merge)}
 SQL = {
     "index_latest": f"{INDEX} SELECT * FROM i",
     "index_exact": f"{INDEX} SELECT * FROM i WHERE event_type = 'click' AND tag_type = 1 AND tag_value = 'true' ORDER BY key LIMIT 1000",
@@ -170,6 +242,16 @@ SQL = {
     "index_range": f"{INDEX} SELECT * FROM i WHERE event_type = 'click' AND (tag_type = 2 AND tag_value::BIGINT > 2 OR tag_type = 3 OR tag_type = 4 AND tag_value <= 't3')",
     "index_range_open": f"{INDEX} SELECT * FROM i WHERE event_type = 'click' AND (tag_type < 2 OR tag_type = 2 AND tag_value::BIGINT < 4)",
     "index_unique_first": "SELECT c_custkey::VARCHAR AS key, c_nationkey::VARCHAR AS nation, c_nationkey IS NOT NULL AND row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) > 1 AS conflicted FROM customer",
+    "index_resolve": f"{INDEX}{POSTINGS} SELECT index_name, \"values\", e.key, event_id FROM e JOIN i ON i.key = e.key",
+    "index_gaps": f"{INDEX}{POSTINGS} SELECT index_name, \"values\", key FROM e WHERE key IN (SELECT key FROM i WHERE event_type = 'click')",
+    "index_delete": f"{INDEX} SELECT 'k-' || (c_custkey * 3) AS key, 'k-' || (c_custkey * 3) IN (SELECT key FROM i) AS deleted, false AS still FROM customer",
+    "index_retire": f"{INDEX}{POSTINGS} SELECT * FROM e WHERE index_name = 'by_kind'",
+    "index_page_bytes": f"{INDEX} SELECT key, event_id, used::BIGINT AS used_bytes FROM (SELECT key, event_id, sum(strlen(payload)) OVER (ORDER BY key) AS used, row_number() OVER (ORDER BY key) AS n FROM x) WHERE used <= 4096 AND n <= 1000",
+    "index_latest_posting": f"{WITH} SELECT pos, key, pos = max(pos) OVER (PARTITION BY key) AS current FROM feed",
+    "store_accumulate_claims": f"""{STORE}, r AS (SELECT key, substr(key, 3)::INT % 300 AS value, count(*) AS count, sum(amount)::BIGINT AS sum, min(seq) AS first FROM j GROUP BY 1, 2)
+      SELECT key, value, count, sum, first <> min(first) OVER (PARTITION BY value) AS conflicted FROM r""",
+    "sub_starts": f"{WITH} SELECT 'BEGINNING' AS start, 0::BIGINT AS after_pos UNION ALL SELECT 'NOW', max(pos) FROM feed UNION ALL SELECT 'TIMESTAMP', coalesce(max(pos), 0) FROM feed WHERE ingest_time_ns < {DAY_10} UNION ALL SELECT 'CURSOR', 321",
+    "sub_fetch": f"""{DIVIDED.replace("('w-00', 'w-03')", "('w-00', 'w-03', 'w-05')")} SELECT pos, event_id, win AS window, pos <= 800 AS redelivered FROM d SEMI JOIN c USING (win) WHERE pos > 800 OR event_id % 3 = 0 ORDER BY redelivered DESC, pos LIMIT 300""",
     "store_fold": f"{STORE} SELECT key, seq, named, amount FROM s",
     "store_get_by": f"{STORE} SELECT key, seq, amount FROM s WHERE named = 'view' ORDER BY key LIMIT 1000",
     "store_range": f"{STORE} SELECT key, amount FROM s WHERE amount >= 1000 AND amount < 4000 ORDER BY amount, key LIMIT 1000",
@@ -182,6 +264,6 @@ SQL = {
     "sub_windowed_deliver": f"{DIVIDED} SELECT pos, event_id, win AS window FROM d SEMI JOIN c USING (win)",
     "sub_deferred": f"{DIVIDED} SELECT win AS window, count(*) AS records, min(pos) AS first_pos FROM d ANTI JOIN c USING (win) GROUP BY win",
     "sub_attempts": f"{WITH} SELECT key, count(*) AS attempts, CASE WHEN count(*) > 10 THEN 'quarantine' ELSE 'retry' END AS action FROM feed GROUP BY key",
-    "frontier_split": f"{WITH} SELECT CASE WHEN substr(sha256(key), 1, 32) < '8' || repeat('0', 31) THEN 'left' ELSE 'right' END AS side, max(pos) AS frontier FROM feed WHERE pos <= 6000 AND event_id % 13 <> 0 GROUP BY 1",
+    "frontier_split": f"{WITH} SELECT CASE WHEN substr(sha256(key), 1, 32) < '8' || repeat('0', 31) THEN 'left' ELSE 'right' END AS side, max(pos) AS frontier FROM (SELECT * FROM feed QUALIFY pos < max(pos) OVER (PARTITION BY key)) GROUP BY 1",
     "frontier_merge": f"{WITH} SELECT coalesce(min(pos) FILTER (NOT (pos < 4000 OR event_id % 3 = 0)), max(pos) + 1) - 1 AS frontier FROM feed",
 }

@@ -1,4 +1,4 @@
-"""Demand analytics, retention, policies, access and diagnostics."""
+"""Demand analytics, retention, policies and access."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from keyfold.functions import typed
 from keyfold.operators import demand, governance, indexes, reads, subscriptions
-from keyfold.sources.feeds import FEED_SQL, events_feed, positioned
+from keyfold.sources.feeds import FEED_SQL, events_feed, stored_feed
 from keyfold.sources.shared import table
 
 WITH = "WITH " + FEED_SQL
@@ -15,7 +15,7 @@ NOW = 1706600000000000000
 
 
 def _by_user(spark, sf_dir):
-    return positioned(events_feed(spark, sf_dir)).withColumn("key", F.concat(F.lit("u"), F.col("user_id")))
+    return stored_feed(spark, sf_dir).withColumn("key", F.concat(F.lit("u"), F.col("user_id")))
 
 
 def _counts(spark, sf_dir):
@@ -54,9 +54,15 @@ def hot_key_flags(spark, sf_dir):
     return demand.hot_keys(demand.window_tops(n), clear_after=2)
 
 
+def _ranges(spark, step):
+    """Contiguous ranges of ``step`` sixteenths; the last one ends beyond every token."""
+    ends = [f"{i:x}" + "0" * 31 for i in range(step, 16, step)]
+    rows = [(i * step, s, e) for i, (s, e) in enumerate(zip(["", *ends], [*ends, "f" * 33]))]
+    return spark.createDataFrame(rows, "range_id int, start string, end string")
+
+
 def range_route(spark, sf_dir):
-    ranges = spark.createDataFrame([(i, f"{i:x}" + "0" * 31 if i else "", f"{i + 1:x}" + "0" * 31) for i in range(0, 16, 2)], "range_id int, start string, end string")
-    return demand.route(_by_user(spark, sf_dir), ranges).groupBy("range_id").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("key").alias("n_keys"))
+    return demand.route(_by_user(spark, sf_dir), _ranges(spark, 2)).groupBy("range_id").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("key").alias("n_keys"))
 
 
 def retry_delays(spark, sf_dir):
@@ -80,6 +86,13 @@ def retention_delete_set(spark, sf_dir):
     return governance.retention(_segments(spark, sf_dir), CUT, 0, 40_000_000, holds).select("feed", "seq")
 
 
+def retention_sweep(spark, sf_dir):
+    """Holds beat erasure, erasure beats retention; what lies below a feed's floor is gone already."""
+    segments = _segments(spark, sf_dir).withColumn("floor_seq", F.substring("feed", -1, 1).cast("long") * 30)
+    holds, erased = spark.createDataFrame([("feed.F3",), ("feed.O5",)], "feed string"), spark.createDataFrame([("feed.P1",), ("feed.O5",)], "feed string")
+    return governance.sweep(segments, CUT, 0, 40_000_000, holds, erased)
+
+
 def policy_effective(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     feeds = c.select(
@@ -100,32 +113,6 @@ def access_decisions(spark, sf_dir):
     return governance.access(asked, spark.createDataFrame(GRANTS, "principal string, action string, resource string, effect string"))
 
 
-def signals_scoped(spark, sf_dir):
-    e = events_feed(spark, sf_dir).select(
-        F.col("event_id").alias("signal_id"), F.when(F.col("event_id") % 17 != 0, F.col("event_time_ns")).alias("at_ns"),
-        F.concat(F.element_at(F.array(F.lit("feed:f"), F.lit("domain:d"), F.lit("node:n"), F.lit("feed:other")), (F.col("event_id") % 4 + 1).cast("int")), F.lit("")).alias("scope"),
-    )
-    d = governance.scoped_signals(e.where("scope <> 'feed:f' or signal_id % 100 = 0"), "f", "d", NOW)
-    return d.select("signal_id", "scope", F.col("scope_rank").cast("int").alias("scope_rank"), "truncated")
-
-
-def diagnostics_explain(spark, sf_dir):
-    return governance.explain(_findings(spark, sf_dir), ["control plane", "nodes", "writers", "readers"]).select("stage", "status", "findings")
-
-
-def diagnostics_recommend(spark, sf_dir):
-    return governance.recommend(_findings(spark, sf_dir)).select(F.col("rank").cast("long").alias("rank"), "finding_id", "stage", "severity")
-
-
-def _findings(spark, sf_dir):
-    names = [F.lit(x) for x in governance.SEVERITY]
-    d = table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("finding_id"), F.element_at(F.array(F.lit("nodes"), F.lit("writers"), F.lit("readers")), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("stage"),
-        (F.col("s_suppkey") % 3 + 1).alias("stage_order"), F.element_at(F.array(*names), (F.col("s_nationkey") % 4 + F.when(F.col("s_suppkey") % 3 == 1, 2).otherwise(1)).cast("int")).alias("severity"),
-    )
-    return d
-
-
 def tier_states(spark, sf_dir):
     d = _segments(spark, sf_dir).withColumn("sealed", F.col("seq") % 4 != 0)
     return governance.tier_of(d, CUT, 30 * DAY).select("seq", "tier")
@@ -143,7 +130,15 @@ def telemetry_rollup(spark, sf_dir):
 
 def split_pressure(spark, sf_dir):
     d = events_feed(spark, sf_dir).groupBy("event_type", F.expr("event_time_ns div 3600000000000").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-    return demand.pressure_runs(d, "event_type", "hour", F.col("n") % 3 != 0, 3)
+    return demand.pressure_due(d, "event_type", "hour", F.col("n") % 3 != 0, 3)
+
+
+def cold_merge(spark, sf_dir):
+    """Neighbours among sixteen ranges whose keys see few records."""
+    ranges = _ranges(spark, 1)
+    rates = demand.route(_by_user(spark, sf_dir), ranges).groupBy("range_id").agg(F.count(F.lit(1)).alias("rate"))
+    total = rates.agg(F.sum("rate").alias("t")).first()["t"]
+    return demand.cold_pairs(ranges, rates, total // 16)
 
 
 def adaptive_batches(spark, sf_dir):
@@ -151,6 +146,11 @@ def adaptive_batches(spark, sf_dir):
     return demand.batch_ewma(d, "event_type", "event_id", "cents")
 
 
+def adaptive_retries(spark, sf_dir):
+    d = events_feed(spark, sf_dir).select("event_type", "event_id", F.when(F.col("event_id") % 7 == 0, 1.0).otherwise(0.0).alias("retried"))
+    return demand.batch_ewma(d, "event_type", "event_id", "retried", 0.9)
+
+
 def range_map_gaps(spark, sf_dir):
     d = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("range_id"), F.format_string("%03d", "n_nationkey").alias("start"), F.format_string("%03d", F.col("n_nationkey") + F.when(F.col("n_nationkey") % 6 == 5, 2).otherwise(1)).alias("end"))
     return demand.range_gaps(d).select("range_id", "end", "next_start")
@@ -173,24 +173,11 @@ def position_sets(spark, sf_dir):
     return subscriptions.set_changes(d).select("c_custkey", F.array_join("held", ",").alias("held"))
 
 
-def diagnostics_nodes(spark, sf_dir):
-    d = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.when(F.col("s_suppkey") % 3 == 0, F.array(F.lit("draining"))).when(F.col("s_suppkey") % 3 == 1, F.array(F.lit("capacity unknown"), F.lit("retired"))).otherwise(F.array().cast("array<string>")).alias("exclusions"))
-    return governance.node_findings(d)
-
-
-def diagnostics_subscriptions(spark, sf_dir):
-    d = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("subscription"), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_nationkey")).alias("owner"), (F.col("s_suppkey") % 3 == 0).alias("paused"))
-    live = table(spark, sf_dir, "nation").where("n_regionkey <> 0").select(F.col("n_nationkey").alias("owner"), (F.col("n_regionkey") != 1).alias("alive"))
-    return governance.subscription_findings(d, live)
-
-
 COUNTS = f"""{WITH}, c AS (
   SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY first_pos) <= 100 AS tracked FROM (
     SELECT ingest_time_ns // {DAY} AS window_id, substr(sha256('u' || user_id), 1, 32) AS token, count(*) AS n, min(pos) AS first_pos, sum(strlen(payload))::BIGINT AS bytes FROM feed GROUP BY 1, 2))"""
-FINDINGS = """WITH f AS (SELECT s_suppkey AS finding_id, ['nodes', 'writers', 'readers'][s_suppkey % 3 + 1] AS stage, s_suppkey % 3 + 1 AS stage_order,
-  s_nationkey % 4 + CASE WHEN s_suppkey % 3 = 1 THEN 2 ELSE 1 END AS sev, ['healthy', 'advisory', 'limited', 'degraded', 'unhealthy'] AS names FROM supplier)"""
 
-QUERIES = {f.__name__: f for f in (demand_rollup, demand_topk, demand_weighted_median, demand_isolation, demand_baseline, hot_key_flags, range_route, retry_delays, retention_delete_set, policy_effective, access_decisions, signals_scoped, diagnostics_explain, diagnostics_recommend, tier_states, copy_lags, telemetry_rollup, split_pressure, adaptive_batches, range_map_gaps, feed_names, index_usage, position_sets, diagnostics_nodes, diagnostics_subscriptions)}
+QUERIES = {f.__name__: f for f in (demand_rollup, demand_topk, demand_weighted_median, demand_isolation, demand_baseline, hot_key_flags, range_route, retry_delays, retention_delete_set, retention_sweep, policy_effective, access_decisions, tier_states, copy_lags, telemetry_rollup, split_pressure, cold_merge, adaptive_batches, adaptive_retries, range_map_gaps, feed_names, index_usage, position_sets)}
 SQL = {
     "demand_rollup": f"{COUNTS} SELECT window_id AS window, token, n, bytes, tracked FROM c",
     "demand_topk": f"{COUNTS}, t AS (SELECT *, sum(n) OVER (PARTITION BY window_id) AS total FROM c) SELECT window_id AS window, row_number() OVER (PARTITION BY window_id ORDER BY n DESC, token) AS rank, token, n, least(n * 10000 // total, 10000)::BIGINT AS share_bp FROM t WHERE tracked QUALIFY rank <= 8",
@@ -213,20 +200,20 @@ SQL = {
       a AS (SELECT 'shop.n' || c_nationkey || '.c' || c_custkey AS resource, 'p' || (c_custkey % 5) AS principal, unnest(['read', 'write', 'manage']) AS action FROM customer)
       SELECT resource, principal, action, (EXISTS (SELECT 1 FROM g WHERE g.principal = a.principal AND granted IN (action, 'manage') AND effect = 'allow' AND (scope = '*' OR resource = scope OR starts_with(resource, scope || '.')))
         AND NOT EXISTS (SELECT 1 FROM g WHERE g.principal = a.principal AND granted IN (action, 'manage') AND effect = 'deny' AND (scope = '*' OR resource = scope OR starts_with(resource, scope || '.')))) AS allowed FROM a""",
-    "signals_scoped": f"""{WITH}, s AS (SELECT event_id AS signal_id, CASE WHEN event_id % 17 <> 0 THEN event_time_ns END AS at_ns, ['feed:f', 'domain:d', 'node:n', 'feed:other'][event_id % 4 + 1] AS scope FROM feed),
-      r AS (SELECT *, CASE scope WHEN 'feed:f' THEN 0 WHEN 'domain:d' THEN 1 WHEN 'node:n' THEN 2 END AS scope_rank FROM s WHERE (scope <> 'feed:f' OR signal_id % 100 = 0) AND scope <> 'feed:other' AND (at_ns IS NULL OR at_ns >= {NOW - DAY}))
-      SELECT signal_id, scope, scope_rank, greatest((SELECT count(*) FROM r) - 128, 0) AS truncated FROM r ORDER BY scope_rank, at_ns DESC NULLS LAST, signal_id LIMIT 128""",
-    "diagnostics_explain": f"{FINDINGS} SELECT s.stage, ['healthy', 'advisory', 'limited', 'degraded', 'unhealthy'][coalesce(max(sev), 1)] AS status, least(count(sev), 64) AS findings FROM (VALUES ('control plane'), ('nodes'), ('writers'), ('readers')) s(stage) LEFT JOIN f USING (stage) GROUP BY 1",
-    "diagnostics_recommend": f"{FINDINGS} SELECT row_number() OVER (ORDER BY sev DESC, stage_order, finding_id) AS rank, finding_id, stage, names[sev] AS severity FROM f QUALIFY rank <= 16",
     "tier_states": f"SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 4 = 0 THEN 'open' WHEN epoch_us(o_orderdate) * 1000 + {30 * DAY} <= {CUT} THEN 'move' ELSE 'deferred' END AS tier FROM orders",
     "copy_lags": "WITH s AS (SELECT 'feed.' || o_orderstatus || (o_custkey % 7) AS feed, o_orderkey AS seq FROM orders), l AS (SELECT feed, count(*) FILTER (NOT (seq % 10 <> 3 AND feed <> 'feed.O1' OR feed = 'feed.P2')) AS lag FROM s GROUP BY feed) SELECT feed, lag, CASE WHEN lag = 0 THEN 'current' WHEN lag > 20 THEN 'stalled' ELSE 'behind' END AS state FROM l",
     "telemetry_rollup": f"{WITH} SELECT event_type, count(*) AS samples, sum(cents)::BIGINT AS cents_total, arg_max(cents, event_id) AS cents_last FROM feed GROUP BY 1",
-    "split_pressure": f"{WITH}, h AS (SELECT event_type, event_time_ns // 3600000000000 AS hour, count(*) AS n FROM feed GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY hour) AS nth FROM h), r AS (SELECT *, nth - row_number() OVER (PARTITION BY event_type ORDER BY hour) AS run FROM p WHERE n % 3 <> 0) SELECT event_type, min(hour) AS started, count(*) AS length FROM r GROUP BY event_type, run HAVING count(*) >= 3",
+    "split_pressure": f"{WITH}, h AS (SELECT event_type, event_time_ns // 3600000000000 AS hour, count(*) AS n FROM feed GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY hour) AS nth FROM h), r AS (SELECT *, nth - row_number() OVER (PARTITION BY event_type ORDER BY hour) AS run FROM p WHERE n % 3 <> 0) SELECT event_type, hour FROM r QUALIFY row_number() OVER (PARTITION BY event_type, run ORDER BY hour) % 3 = 0",
+    "cold_merge": f"{WITH}, k AS (SELECT ('0x' || substr(sha256('u' || user_id), 1, 1))::INT AS r, count(*) AS n FROM feed GROUP BY 1), a AS (SELECT g::INT AS r, coalesce(n, 0) AS n FROM range(16) t(g) LEFT JOIN k ON k.r = g), m AS (SELECT sum(n) // 16 AS most FROM a) SELECT r AS \"left\", nr AS \"right\" FROM (SELECT r, n, lead(r) OVER (ORDER BY r) AS nr, lead(n) OVER (ORDER BY r) AS nn FROM a), m WHERE n <= most AND nn <= most",
+    "adaptive_retries": f"{WITH} SELECT event_type, list_reduce(list(CASE WHEN event_id % 7 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY event_id), lambda a, x: a * 0.9::DOUBLE + x * (1 - 0.9::DOUBLE)) AS ewma FROM feed GROUP BY 1",
+    "retention_sweep": f"""WITH s AS (SELECT 'feed.' || o_orderstatus || (o_custkey % 7) AS feed, o_orderkey AS seq, CAST(trunc(o_totalprice) AS BIGINT) AS bytes, epoch_us(o_orderdate) * 1000 AS t FROM orders),
+      h AS (SELECT * FROM s WHERE feed NOT IN ('feed.F3', 'feed.O5')),
+      g AS (SELECT *, t < {CUT} OR sum(bytes) OVER (PARTITION BY feed ORDER BY seq DESC) > 40000000 AS goes FROM h WHERE feed <> 'feed.P1' AND seq >= right(feed, 1)::INT * 30)
+      SELECT feed, seq, 'erased' AS cause FROM h WHERE feed = 'feed.P1'
+      UNION ALL SELECT feed, seq, 'retention' FROM (SELECT feed, seq FROM g QUALIFY coalesce(seq < min(CASE WHEN NOT goes THEN seq END) OVER (PARTITION BY feed), true))""",
     "adaptive_batches": f"{WITH} SELECT event_type, list_reduce(list(cents::DOUBLE ORDER BY event_id), lambda a, x: a * 0.8::DOUBLE + x * (1 - 0.8::DOUBLE)) AS ewma FROM feed GROUP BY 1",
     "range_map_gaps": "WITH r AS (SELECT n_nationkey AS range_id, lpad(n_nationkey::VARCHAR, 3, '0') AS s, lpad((n_nationkey + CASE WHEN n_nationkey % 6 = 5 THEN 2 ELSE 1 END)::VARCHAR, 3, '0') AS e FROM nation), l AS (SELECT range_id, e, lead(s) OVER (ORDER BY s) AS nx FROM r) SELECT range_id, e AS \"end\", nx AS next_start FROM l WHERE nx IS NOT NULL AND nx <> e",
     "feed_names": "SELECT 'shop.r' || n_regionkey || '.n' || n_nationkey AS feed, 'n' || n_nationkey AS short_name, n_regionkey = 1 AS in_r1, false AS is_r1 FROM nation",
     "index_usage": f"{WITH} SELECT event_type AS \"index\", ['exact', 'prefix', 'range'][event_id % 3 + 1] AS mode, count(*) AS lookups, count(*) FILTER (cents > 9000) AS truncated, count(*) FILTER (event_id % 50 = 0) AS behind FROM feed GROUP BY 1, 2",
     "position_sets": "SELECT c_custkey, array_to_string(list_sort(list_filter(list_distinct([c_custkey % 7, c_custkey % 5, 9, c_custkey % 3]), lambda x: x <> c_custkey % 2)), ',') AS held FROM customer",
-    "diagnostics_nodes": "SELECT s_suppkey AS node, CASE WHEN x IN ('draining', 'retired') THEN 'advisory' ELSE 'degraded' END AS severity, x AS reason FROM (SELECT s_suppkey, unnest(CASE s_suppkey % 3 WHEN 0 THEN ['draining'] WHEN 1 THEN ['capacity unknown', 'retired'] ELSE [] END) AS x FROM supplier)",
-    "diagnostics_subscriptions": "WITH o AS (SELECT s_suppkey AS subscription, CASE WHEN s_suppkey % 4 <> 0 THEN s_nationkey END AS owner, s_suppkey % 3 = 0 AS paused FROM supplier), f AS (SELECT subscription, CASE WHEN owner IS NULL THEN ['degraded', 'no owner'] WHEN n_regionkey = 1 THEN ['degraded', 'owner dead'] WHEN n_regionkey IS NULL THEN ['advisory', 'owner unknown'] WHEN paused THEN ['advisory', 'paused'] END AS x FROM o LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 0) ON owner = n_nationkey) SELECT subscription, x[1] AS severity, x[2] AS reason FROM f WHERE x IS NOT NULL",
 }

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from keyfold.functions.typed import duration_ns
 from keyfold.operators import pipes
 from keyfold.plans.declarations import WindowPipe
-from keyfold.sources.feeds import FEED_SQL, events_feed, positioned
+from keyfold.sources.feeds import FEED_SQL, events_feed, stored_feed
 
 WITH = "WITH " + FEED_SQL
 PANE = duration_ns("1h")
 NOW = 1705312800000000000  # 2024-01-15 10:00
+STORE_SEQ = 7
 COLUMNS = ["group_tag", "group_value", "pane", "posting", "count"]
 
 
@@ -37,8 +38,7 @@ def window_sum_mixed(spark, sf_dir):
 
 
 def window_avg(spark, sf_dir):
-    d = pipes.window(events_feed(spark, sf_dir), _pipe(value_path="cents"))
-    return _out(d, (F.col("sum").cast("double") / F.greatest(F.col("count"), F.lit(1))).alias("average"))
+    return _out(pipes.window(events_feed(spark, sf_dir), _pipe(value_path="cents", average=True)), pipes.average().alias("average"))
 
 
 def window_ingest(spark, sf_dir):
@@ -58,8 +58,22 @@ def window_keycap(spark, sf_dir):
     return _out(pipes.window(events_feed(spark, sf_dir), _pipe(limit_keys=40)))
 
 
-def _disposed(spark, sf_dir):
-    pipe = _pipe(value_path="cents", expire_ns=duration_ns("7d"))
+def window_bytecap(spark, sf_dir):
+    """Rows of together at most 4 KiB, admitted as they are first seen; text and integer groups cost differently."""
+    return _out(pipes.window(stored_feed(spark, sf_dir), _pipe(group_path="customer", value_path="cents", limit_bytes=4096)))
+
+
+def window_caps(spark, sf_dir):
+    """Both caps at once: what the key cap refuses never counts as late, nor against the bytes."""
+    return _out(pipes.window(stored_feed(spark, sf_dir), _pipe(group_path="tag", limit_keys=5, limit_bytes=2048)))
+
+
+def _expiring(**more):
+    return _pipe(**{"value_path": "cents", "expire_ns": duration_ns("7d")} | more)
+
+
+def _disposed(spark, sf_dir, pipe=None):
+    pipe = pipe or _expiring()
     return pipes.disposition(pipes.window(events_feed(spark, sf_dir), pipe), pipe, NOW)
 
 
@@ -67,9 +81,20 @@ def window_expire(spark, sf_dir):
     return _out(_disposed(spark, sf_dir), "disposition")
 
 
+def _emitted(spark, sf_dir, pipe):
+    d = _disposed(spark, sf_dir, pipe).where("disposition = 'emit'")
+    payload = pipes.emission_payload(pipe, F.lit(STORE_SEQ), F.lit(1))
+    return d.select(F.col("group_tag").cast("int").alias("group_tag"), "group_value", "pane", "event_time_ns", payload.alias("payload"))
+
+
 def window_emissions(spark, sf_dir):
-    d = _disposed(spark, sf_dir).where("disposition = 'emit'").withColumn("revision", F.lit(1))
-    return d.select("group_value", "pane", "event_time_ns", pipes.emission_payload().alias("payload"))
+    """Averages by customer."""
+    return _emitted(spark, sf_dir, _expiring(average=True))
+
+
+def window_emissions_count(spark, sf_dir):
+    """Counts by groups of several types, which keep their JSON type."""
+    return _emitted(spark, sf_dir, _expiring(value_path=None, group_path="tag"))
 
 
 def window_rolling(spark, sf_dir):
@@ -79,7 +104,7 @@ def window_rolling(spark, sf_dir):
 
 def _paged(spark, sf_dir):
     pipe = _pipe(value_path="cents", max_late_ns=None, watermark_ns=duration_ns("30m"), grace_ns=duration_ns("20m"))
-    return pipes.window_by_watermark(positioned(events_feed(spark, sf_dir)), pipe)
+    return pipes.window_by_watermark(stored_feed(spark, sf_dir), pipe)
 
 
 def window_watermark_paged(spark, sf_dir):
@@ -110,6 +135,30 @@ w AS (
 
 CAP = "ok AS (SELECT DISTINCT group_tag, group_value FROM b ORDER BY group_tag, group_value LIMIT 40), a AS (SELECT b.* FROM b SEMI JOIN ok USING (group_tag, group_value))"
 NEVER = 10**18
+CAP_5 = CAP.replace("LIMIT 40", "LIMIT 5").replace("ORDER BY group_tag, group_value", "ORDER BY group_tag, CASE group_tag WHEN 2 THEN CAST(group_value AS BIGINT) END, group_value")
+# Rows are admitted in the order they are first seen, as long as what they cost is left: a fold over the list of rows.
+BYTES = """t AS (SELECT *, CASE WHEN late THEN -1 ELSE pane END AS row_pane FROM {src} WHERE late OR vt = 2),
+u AS (SELECT group_tag, group_value, row_pane, min(pos) AS first_pos, CASE group_tag WHEN 1 THEN 1 WHEN 2 THEN 8 ELSE strlen(group_value) END + 39 AS cost FROM t GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (ORDER BY first_pos) AS id FROM u),
+z AS (SELECT list_reduce(list(struct_pack(used := cost::BIGINT, own := [id::BIGINT]) ORDER BY id), lambda acc, x: CASE WHEN acc.used + x.used <= {limit} THEN struct_pack(used := acc.used + x.used, own := list_concat(acc.own, x.own)) ELSE acc END, struct_pack(used := 0::BIGINT, own := []::BIGINT[])) AS f FROM o),
+fit AS (SELECT group_tag, group_value, row_pane FROM o, z WHERE list_contains(f.own, id))"""
+CAPPED = """SELECT group_tag, group_value, row_pane AS pane, CASE WHEN row_pane < 0 THEN -1 ELSE 0 END AS posting, count(*) AS count, coalesce(sum(CASE WHEN row_pane >= 0 THEN v END), 0)::BIGINT AS sum FROM t SEMI JOIN fit USING (group_tag, group_value, row_pane) GROUP BY ALL
+  UNION ALL SELECT 4, '__bytecap__', -1, -1, count(*), 0 FROM t ANTI JOIN fit USING (group_tag, group_value, row_pane) HAVING count(*) > 0"""
+_DISPOSED = f"""d AS (SELECT *, CASE WHEN posting <> 0 THEN 'keep' WHEN {NOW} >= (pane + 1) * {PANE} + 604800000000000 THEN 'expire'
+  WHEN {NOW} >= (pane + 1) * {PANE} + 3600000000000 THEN 'emit' ELSE 'keep' END AS disposition FROM w)"""
+DISPOSED_TAGS = f"{_sql(group='$.tag')}, {_DISPOSED}"
+
+
+def _emissions(average: bool) -> str:
+    """Emitted panes with their JSON, written from the wire form: decimal strings, null for what is not aggregated."""
+    mean = "regexp_replace((sum::DOUBLE / greatest(count, 1))::VARCHAR, '\\.0$', '')"
+    text = "to_json(group_value)::VARCHAR"
+    more = f"""'","count":' || count || ',"sum":' || {"'" + '"' + "' || sum || '" + '"' + "'" if average else "'null'"} || ',"average":' || {"'" + '"' + "' || " + mean + " || '" + '"' + "'" if average else "'null'"}"""
+    return f""" SELECT group_tag, group_value, pane, (pane + 1) * {PANE} - 1 AS event_time_ns,
+      '{{"group":' || CASE WHEN group_tag IN (1, 2) THEN group_value ELSE {text} END || ',"pane":' || pane || ',"pane_start_ns":"' || (pane * {PANE}) || '","pane_end_ns":"' || ((pane + 1) * {PANE})
+      || {more} || ',"store_seq":"{STORE_SEQ}","revision":"1"}}' AS payload FROM d WHERE disposition = 'emit'"""
+
+
 DISPOSED = f"""{_sql('$.cents')}, d AS (SELECT *, CASE WHEN posting <> 0 THEN 'keep' WHEN {NOW} >= (pane + 1) * {PANE} + 604800000000000 THEN 'expire'
   WHEN {NOW} >= (pane + 1) * {PANE} + 3600000000000 THEN 'emit' ELSE 'keep' END AS disposition FROM w)"""
 MARK, GRACE = 1800 * 10**9, 1200 * 10**9
@@ -124,7 +173,7 @@ r AS (SELECT group_tag, group_value, pane, 0 AS posting, count, sum, emit_page,
     CASE WHEN emit_page IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY group_tag, group_value, pane ORDER BY emit_page NULLS LAST) END AS revision FROM k
   UNION ALL SELECT group_tag, group_value, -1, -1, count(*), 0, NULL, 0 FROM l WHERE islate GROUP BY ALL)"""
 
-QUERIES = {f.__name__: f for f in (window_count, window_sum, window_sum_mixed, window_avg, window_ingest, window_typed_groups, window_late_rows, window_keycap, window_expire, window_emissions, window_rolling, window_watermark_paged, window_pane_totals)}
+QUERIES = {f.__name__: f for f in (window_count, window_sum, window_sum_mixed, window_avg, window_ingest, window_typed_groups, window_late_rows, window_keycap, window_bytecap, window_caps, window_expire, window_emissions, window_emissions_count, window_rolling, window_watermark_paged, window_pane_totals)}
 SQL = {
     "window_count": f"{_sql()} SELECT * FROM w",
     "window_sum": f"{_sql('$.cents')} SELECT * FROM w",
@@ -133,11 +182,12 @@ SQL = {
     "window_ingest": f"{_sql('$.cents', NEVER, 'ingest_time_ns')} SELECT * FROM w",
     "window_typed_groups": f"{_sql(group='$.tag')} SELECT * FROM w",
     "window_late_rows": f"{_sql(late=1800 * 10**9)} SELECT * FROM w WHERE posting = -1",
-    "window_keycap": f"{_sql(admit=CAP)} SELECT * FROM w UNION ALL SELECT 4, '__keycap__', -1, -2, count(*), 0 FROM b ANTI JOIN ok USING (group_tag, group_value) HAVING count(*) > 0",
+    "window_keycap": f"{_sql(admit=CAP)} SELECT * FROM w UNION ALL SELECT 4, '__keycap__', -1, -1, count(*), 0 FROM b ANTI JOIN ok USING (group_tag, group_value) HAVING count(*) > 0",
     "window_expire": f"{DISPOSED} SELECT * FROM d",
-    "window_emissions": f"""{DISPOSED} SELECT group_value, pane, (pane + 1) * {PANE} - 1 AS event_time_ns,
-      '{{"group":"' || group_value || '","pane":' || pane || ',"pane_start_ns":"' || (pane * {PANE}) || '","pane_end_ns":"' || ((pane + 1) * {PANE}) || '","count":' || count || ',"sum":"' || sum || '","revision":1}}' AS payload
-      FROM d WHERE disposition = 'emit'""",
+    "window_emissions": f"{DISPOSED}{_emissions(True)}",
+    "window_emissions_count": f"{DISPOSED_TAGS}{_emissions(False)}",
+    "window_bytecap": f"{_sql('$.cents')}, {BYTES.format(src='a', limit=4096)} {CAPPED}",
+    "window_caps": f"{_sql(group='$.tag', admit=CAP_5)}, {BYTES.format(src='a', limit=2048)} {CAPPED} UNION ALL SELECT 4, '__keycap__', -1, -1, count(*), 0 FROM b ANTI JOIN ok USING (group_tag, group_value) HAVING count(*) > 0",
     "window_rolling": f"{_sql('$.cents')} SELECT group_value, pane, (sum(count) OVER r)::BIGINT AS rolling_count, (sum(sum) OVER r)::BIGINT AS rolling_sum FROM w WHERE posting = 0 WINDOW r AS (PARTITION BY group_tag, group_value ORDER BY pane RANGE BETWEEN 15 PRECEDING AND CURRENT ROW)",
     "window_watermark_paged": f"{PAGED} SELECT * FROM r",
     "window_pane_totals": f"{PAGED} SELECT group_value, pane, sum(count)::BIGINT AS count, sum(sum)::BIGINT AS sum FROM r WHERE posting = 0 GROUP BY group_tag, group_value, pane",

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyfold.functions.ordering import with_position
-from keyfold.sources.shared import table
+from keyfold.sources.shared import exists, new_path, table
 
 HOUR = 3600 * 10**9
+#: Records of a log that are ranked together, about.
+BUCKET_ROWS = 100_000
+_logs: dict[tuple[str, str], str] = {}
 STEP = 600 * 10**9
 
 
@@ -43,9 +46,36 @@ def events_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project_events(table(spark, sf_dir, "events"))
 
 
-def positioned(feed: DataFrame) -> DataFrame:
-    """``feed`` with ``pos``: its dense delivery position by (ingest time, id)."""
-    return with_position(feed, F.expr(f"ingest_time_ns div {HOUR}"), ["ingest_time_ns", "event_id"])
+def positioned(feed: DataFrame, bucket_ns: int = HOUR) -> DataFrame:
+    """``feed`` with ``pos``: its dense delivery position by (ingest time, id), ranked within ``bucket_ns`` of delivery."""
+    return with_position(feed, F.expr(f"ingest_time_ns div {bucket_ns}"), ["ingest_time_ns", "event_id"])
+
+
+def append_feed(records: DataFrame, path: str) -> None:
+    """Write ``records`` as the log at ``path``, each with its position, or add them behind what it holds.
+
+    Positions never change, so they are ranked once, when records arrive, within
+    buckets of delivery time that hold about ``BUCKET_ROWS`` records. Files are
+    ranges of positions, so that a read of a page opens few.
+    """
+    spark = records.sparkSession
+    before = 0
+    if exists(spark, path):
+        before = spark.read.parquet(path).agg(F.max("pos")).first()[0] or 0
+    n, low, high = records.agg(F.count(F.lit(1)), F.min("ingest_time_ns"), F.max("ingest_time_ns")).first()
+    step = max(1, (high - low) // max(1, n // BUCKET_ROWS)) if n else 1
+    d = positioned(records, step).withColumn("pos", F.col("pos") + before)
+    d.repartitionByRange("pos").sortWithinPartitions("pos").write.mode("append").parquet(path)
+
+
+def stored_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of ``events`` with positions, written once an application."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _logs:
+        path = new_path(spark, "feed")
+        append_feed(events_feed(spark, sf_dir), path)
+        _logs[key] = path
+    return spark.read.parquet(_logs[key])
 
 
 #: The same projection in DuckDB, with positions: the head of each oracle.

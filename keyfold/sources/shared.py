@@ -1,8 +1,8 @@
 """Tables and files that every executor can read.
 
 Lineage is cut by writing a Parquet table below the folder that the cluster
-names in ``spark.checkpoint.dir``. Only where that setting is missing (tests,
-a laptop) a folder of our own is made.
+names in ``spark.checkpoint.dir``. Only where that setting is missing and Spark
+runs in one process (tests, a laptop) a folder of our own is made.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = _own.get(app)
         if base is None:
             base = _own[app] = "file://" + tempfile.mkdtemp(prefix="keyfold-")
@@ -47,6 +49,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

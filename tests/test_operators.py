@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from keyfold.functions import typed
 from keyfold.functions.ordering import with_position, with_running_max
-from keyfold.operators import demand, governance, indexes, pipes, reads, stores, subscriptions
+from keyfold.operators import demand, diagnostics, governance, indexes, pipes, reads, stores, subscriptions
 from keyfold.plans.declarations import Miss, WindowPipe
 from keyfold.queries import state, traffic
 
@@ -50,7 +50,7 @@ def test_window_groups_skips_and_late(spark):
 def test_key_cap_comes_before_lateness(spark):
     feed = records(spark, [("a", 1, 0, 0), ("b", 1, 0, 0), ("c", 1, 0, 100), ("d", 1, 0, 0), ("c", 1, 0, 0)])
     got = panes(pipes.window(feed, WindowPipe("customer", 16 * S, max_late_ns=S, limit_keys=2)))
-    assert got == [("__keycap__", -1, -2, 3, 0), ("a", 0, 0, 1, 0), ("b", 0, 0, 1, 0)]
+    assert got == [("__keycap__", -1, -1, 3, 0), ("a", 0, 0, 1, 0), ("b", 0, 0, 1, 0)]
 
 
 def test_revisions_carry_only_new_rows(spark):
@@ -76,7 +76,7 @@ def test_byte_cap_equals_a_plain_fold(spark):
                 continue
             left -= 0 if row in rows else 4 + 1 + len(c) + 8 + 26
             rows[row] = rows.get(row, 0) + 1
-        assert got == sorted([(*k, n, 0) for k, n in rows.items()] + [("__bytecap__", -1, -4, refused, 0)] * (refused > 0))
+        assert got == sorted([(*k, n, 0) for k, n in rows.items()] + [("__bytecap__", -1, -1, refused, 0)] * (refused > 0))
 
 
 def test_disposition_order(spark):
@@ -218,6 +218,137 @@ def test_unique_fold_streams_its_scopes(spark):
     assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_hot_key_query_equals_a_plain_fold(spark):
+    """The registered query against counts and flags kept in dictionaries."""
+    rows = traffic.events_feed(spark, SF).select("user_id", "event_time_ns").collect()
+    counts = {}
+    for r in rows:
+        hot = r.event_time_ns // 86400000000000 % 5 < 3
+        own = counts.setdefault((r.user_id % 4, r.event_time_ns // 43200000000000), {})
+        token = "hot" if hot else f"u{r.user_id % 8}"
+        own[token] = own.get(token, 0) + 1
+    want, state = [], {}
+    for (where, window), own in sorted(counts.items()):
+        flagged, streak, candidate, calm = state.get(where, (None, 0, None, 0))
+        total, (top, n) = sum(own.values()), min(own.items(), key=lambda x: (-x[1], x[0]))
+        if total >= 10:
+            big = n * 10000 // total >= 5000
+            streak = (streak + 1 if top == candidate else 1) if big else 0
+            candidate = top if big else None
+            if flagged is not None:
+                calm = calm + 1 if own.get(flagged, 0) * 10000 // total < 3000 and top != flagged else 0
+                flagged, calm = (None, 0) if calm >= 2 else (flagged, calm)
+            if flagged is None and streak >= 2:
+                flagged, calm = candidate, 0
+        state[where] = flagged, streak, candidate, calm
+        want.append((where, window, flagged))
+    got = sorted((tuple(r) for r in traffic.hot_key_flags(spark, SF).collect()), key=lambda r: r[:2])
+    assert got == want and any(w[2] for w in want)
+
+
+def test_claims_fold_equals_a_plain_fold(spark):
+    d = state.stored_feed(spark, SF).selectExpr("event_id % 5 AS scope", "key", "if(cents % 11 <> 0, cents % 40, null) AS value", "pos")
+    rows, holder = {}, {}
+    for r in sorted(d.collect(), key=lambda r: r.pos):
+        mine, held = rows.setdefault(r.scope, {}), holder.setdefault(r.scope, {})
+        lost = r.value is not None and held.get(r.value, r.key) != r.key
+        for v in [v for v, k in held.items() if k == r.key]:
+            del held[v]
+        if r.value is not None and not lost:
+            held[r.value] = r.key
+        mine[r.key] = (r.value, lost)
+    want = sorted(((s, k, *v) for s, m in rows.items() for k, v in m.items()), key=repr)
+    got = state.index_claims_fold(spark, SF).collect()
+    assert sorted(map(tuple, got), key=repr) == want and {w[3] for w in want} == {True, False}
+
+
+def test_pressure_with_cooldown_equals_a_plain_fold(spark):
+    rng = __import__("random").Random(5)
+    rows = [(r, i, rng.random() < 0.7) for r in range(6) for i in range(80)]
+    d = spark.createDataFrame(rows, "r int, i int, hot boolean").repartition(4)
+    for n, cooldown in ((1, 0), (3, 0), (3, 5), (2, 1)):
+        want = []
+        for r in range(6):
+            count = rest = 0
+            for _, i, hot in [x for x in rows if x[0] == r]:
+                if rest:
+                    rest -= 1
+                elif not hot:
+                    count = 0
+                else:
+                    count += 1
+                    if count == n:
+                        want.append((r, i))
+                        count, rest = 0, cooldown
+        assert sorted(map(tuple, demand.pressure_due(d, "r", "i", F.col("hot"), n, cooldown).collect())) == want
+
+
+def test_routes_among_many_ranges(spark):
+    """More ranges than prefixes, uneven ones, and tokens on both sides of each edge."""
+    rng = __import__("random").Random(6)
+    edges = sorted({f"{rng.getrandbits(128):032x}" for _ in range(3000)} | {"40" + "0" * 30, "41" + "0" * 30})
+    ranges = [(i, a, b) for i, (a, b) in enumerate(zip(["", *edges], [*edges, "f" * 33]))]
+    d = spark.range(2000).select(F.concat(F.lit("k"), "id").alias("key"))
+    got = demand.route(d, spark.createDataFrame(ranges, "range_id int, start string, end string")).collect()
+    tokens = [__import__("hashlib").sha256(r.key.encode()).hexdigest()[:32] for r in got]
+    assert len(got) == 2000 and all(ranges[r.range_id][1] <= t < ranges[r.range_id][2] for r, t in zip(got, tokens))
+
+
+def test_reads_refuse_what_they_cannot_give(spark):
+    feed = spark.createDataFrame([(1, b"12345", "k"), (2, b"1", "k")], "pos long, payload binary, key string")
+    assert reads.read_within_bytes(feed, 0, 10, 6).count() == 2 and reads.read_within_bytes(feed, 0, 10, 5).count() == 1
+    assert reads.read_within_bytes(feed, 2, 10, 1).count() == 0
+    for bad in (lambda: reads.read_within_bytes(feed, 0, 10, 4).collect(), lambda: reads.lookup(feed, feed.selectExpr("pos + 1 AS pos")).collect(), lambda: subscriptions.start(feed, "CURSOR", 9).collect(), lambda: reads.search(feed), lambda: subscriptions.start(feed, "THEN")):
+        with pytest.raises(Exception):
+            bad()
+    assert reads.search_progress(feed, 0, 1).first() == (1, False, 1) and reads.search_progress(feed, 0, 2).first() == (2, True, None)
+    assert reads.search_progress(feed.limit(0)).first() == (0, True, None)
+    rows = spark.createDataFrame([("a", 1)], "key string, v int")
+    with pytest.raises(Exception, match="no row for the entry"):
+        indexes.resolved(spark.createDataFrame([("i", "x", "b")], "index_name string, values string, key string"), rows).collect()
+
+
+def test_logs_grow_behind_their_end(spark):
+    from keyfold.sources.feeds import append_feed, events_feed
+    from keyfold.sources.shared import new_path
+
+    path, feed = new_path(spark, "log"), events_feed(spark, SF)
+    append_feed(feed.where("event_id <= 600"), path)
+    append_feed(feed.where("event_id > 600"), path)
+    append_feed(feed.limit(0), path)
+    rows = spark.read.parquet(path).orderBy("pos").collect()
+    assert [r.pos for r in rows] == list(range(1, feed.count() + 1))
+    for part in (rows[: sum(r.event_id <= 600 for r in rows)], rows[sum(r.event_id <= 600 for r in rows) :]):
+        assert [(r.ingest_time_ns, r.event_id) for r in part] == sorted((r.ingest_time_ns, r.event_id) for r in part)
+
+
+def test_sweep_order(spark):
+    d = spark.createDataFrame([(f, i, 10, 5, fl) for f, fl in (("held", 0), ("gone", 0), ("both", 0), ("old", 2)) for i in range(1, 4)], "feed string, seq long, bytes long, last_ingest_ns long, floor_seq long")
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "feed string")
+    got = sorted(map(tuple, governance.sweep(d, 50, 10, None, names("held", "both"), names("gone", "both")).collect()))
+    assert got == [("gone", 1, "erased"), ("gone", 2, "erased"), ("gone", 3, "erased"), ("old", 2, "retention"), ("old", 3, "retention")]
+
+
+def test_unreplicated_control_plane_is_limited(spark):
+    d = diagnostics.control_plane(spark.createDataFrame([("n", False, None)], "node string, replicated boolean, leader string"))
+    assert d.first().severity == "advisory" and {r.stage: r.status for r in diagnostics.explain(d).collect()}["control plane"] == "limited"
+    empty = spark.createDataFrame([], "node string, eligible boolean, exclusions array<string>")
+    assert diagnostics.storage(empty).count() == 0 and diagnostics.explain(diagnostics.storage(empty)).where("status <> 'healthy'").count() == 0
+
+
+@pytest.mark.parametrize("path,found", [("a'b", "1"), ('q"', "2"), ("x.y z", "3"), ("x.none", None), ("c\\d", "4")])
+def test_paths_with_quotes(spark, path, found):
+    d = spark.createDataFrame([(__import__("json").dumps({"a'b": 1, 'q"': 2, "x": {"y z": 3}, "c\\d": 4}),)], "payload string")
+    assert d.select(typed.shown(typed.json_value(F.col("payload"), path))).first()[0] == found
+    with pytest.raises(ValueError):
+        typed.json_value(F.col("payload"), "both'\"")
+
+
+def test_averages_as_text(spark):
+    d = spark.createDataFrame([(x,) for x in (1.0, 2.5, 12345678.9, 1 / 3, 1e16, -0.25, 100.0)], "v double")
+    assert [r[0] for r in d.select(typed.plain_decimal(F.col("v"))).collect()] == ["1", "2.5", "12345678.9", "0.3333333333333333", "10000000000000000", "-0.25", "100"]
+
+
 def test_delay_blocks_a_key_behind_its_parked_record(spark):
     d = spark.createDataFrame([(1, "a", 10), (2, "b", 50), (3, "b", 12), (4, "a", 13)], "pos long, key string, ingest_time_ns long")
     assert sorted(r.pos for r in subscriptions.delayed(d, 40, 10).collect()) == [1, 4]

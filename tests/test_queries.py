@@ -41,4 +41,4 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_a_test_of_its_own():
-    assert set(catalog.QUERIES) - set(catalog.SQL) == {"store_unique_fold", "hot_key_flags"}
+    assert set(catalog.QUERIES) - set(catalog.SQL) == {"store_unique_fold", "hot_key_flags", "index_claims_fold"}
