@@ -46,7 +46,7 @@ def tokenizer_path() -> str:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce(F.encode("html", "utf-8"), F.lit(b"")).alias("payload"))
     path = new_path(spark, "warc")
-    warc.write_archive(pages, path, "page_id", "url", "payload", min_bytes=0)
+    warc.write_archive(pages, path, "page_id", "url", "payload", min_bytes=0, chunk_bytes=1024, segment_bytes=4096)
     read = warc.read_archive(spark, path).select(
         "record_id",
         "row_id",
@@ -63,15 +63,14 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("digest").alias("payload_digest"),
         F.col("warc_type").alias("record_type"),
         F.col("refers_row").cast("long").alias("refers_to"),
+        "complete",
     )
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages are labelled by ``labels``: quality 0 of the row with the page's id means block."""
+    """Labels are the verdicts of the explicit rules; what is mined from them decides the URLs that no rule lists."""
     pages = table(spark, sf_dir, "pages")
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    labelled = pages.join(labels, pages.page_id == labels.doc_id).select("url", (F.col("quality") == 0).alias("block"))
-    return url_filters.judge(pages, EXPLICIT, url_filters.mine_rules(labelled.where(F.col("block").isNotNull())))
+    return url_filters.judge(pages, EXPLICIT, url_filters.mine_rules(url_filters.listed(pages, EXPLICIT)))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,18 +113,29 @@ def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.with_starts(read).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def _quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule evaluated once; policies read what is stored here."""
+    return store(quality_rules.ledger(table(spark, sf_dir, "documents")), "quality-ledger")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = quality_rules.ledger(table(spark, sf_dir, "documents"))
-    base = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
-    return entries.select(
+    """The base policy and the standard one over the stored ledger."""
+    return _quality_ledger(spark, sf_dir).select(
         "doc_id",
         *quality_rules.MEASURES,
         "failure_bits",
-        base.alias("base_failed"),
-        (~base & ~quality_rules.rejected(quality_rules.STANDARD)).alias("kept"),
+        quality_rules.rejected(quality_rules.BASE).alias("base_failed"),
+        (~quality_rules.rejected(quality_rules.STANDARD)).alias("kept"),
+        F.lit(quality_rules.STANDARD.version).alias("policy"),
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of two policy versions rejects, and rejects alone."""
+    entries = _quality_ledger(spark, sf_dir)
+    return quality_rules.ablation(entries, quality_rules.BASE).unionByName(quality_rules.ablation(entries, quality_rules.STANDARD))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_url_filters": op2_url_filters,
@@ -137,4 +147,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_token_binary": op9_token_binary,
     "op10_quality_rules": op10_quality_rules,
+    "quality_ablation": quality_ablation,
 }

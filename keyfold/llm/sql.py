@@ -5,7 +5,7 @@ from __future__ import annotations
 from keyfold.llm.queries import BLOCK_DOCS, SHARES
 
 OP2 = r"""
-WITH p AS (
+WITH RECURSIVE p AS (
   SELECT page_id, url, row_number() OVER () AS rid,
     translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path,
@@ -21,20 +21,15 @@ t AS (
     list_transform(list_filter(string_split(regexp_replace(lower(path), '[0-9]+', '0', 'g'), '/'), lambda x: x <> ''), lambda x: 'p:' || x),
     list_transform(list_filter(list_transform(string_split(query, '&'), lambda x: split_part(x, '=', 1)), lambda x: x <> ''), lambda x: 'q:' || x))) AS tok
   FROM p),
-lab AS (
-  SELECT p.rid, l.quality = 0 AS block FROM p JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) l
-  ON p.page_id = l.doc_id WHERE l.quality IS NOT NULL),
-lt AS (SELECT lab.rid, block, tok FROM lab JOIN t ON t.rid = lab.rid),
-tot AS (SELECT count(DISTINCT rid) AS n, count(DISTINCT rid) FILTER (block) AS nb FROM (SELECT rid, block FROM lt UNION ALL SELECT rid, block FROM lab WHERE block)),
-sets AS (
-  SELECT [tok] AS ante, count(*) AS a, count(*) FILTER (block) AS b FROM lt GROUP BY tok
+lt AS (SELECT t.rid, listed.best.verdict = 'block' AS block, tok FROM listed JOIN t ON t.rid = listed.rid),
+tot AS (SELECT count(*) AS n, count(*) FILTER (best.verdict = 'block') AS nb FROM listed),
+grown(rid, block, ante, tok) AS (
+  SELECT rid, block, [tok], tok FROM lt
   UNION ALL
-  SELECT [x.tok, y.tok], count(*), count(*) FILTER (x.block) FROM lt x JOIN lt y ON x.rid = y.rid AND x.tok < y.tok GROUP BY x.tok, y.tok
-  UNION ALL
-  SELECT [x.tok, y.tok, z.tok], count(*), count(*) FILTER (x.block) FROM lt x JOIN lt y ON x.rid = y.rid AND x.tok < y.tok
-  JOIN lt z ON x.rid = z.rid AND y.tok < z.tok GROUP BY x.tok, y.tok, z.tok),
+  SELECT g.rid, g.block, list_append(g.ante, lt.tok), lt.tok FROM grown g JOIN lt ON lt.rid = g.rid AND lt.tok > g.tok),
+sets AS (SELECT ante, count(*) AS a, count(*) FILTER (block) AS b FROM grown GROUP BY ante),
 good AS (
-  SELECT ante FROM sets, tot WHERE b >= 20 AND b >= 0.002 * n AND b >= 0.6 * a AND (b / a) / (nb / n) >= 2.0),
+  SELECT ante FROM sets, tot WHERE b >= 2 AND b >= ceil(0.02 * n) AND b::DOUBLE / a >= 0.6 AND (b::DOUBLE / a) / (nb::DOUBLE / n) > 1),
 own AS (SELECT rid, list(tok) AS toks FROM t GROUP BY rid),
 hit AS (SELECT DISTINCT rid FROM own JOIN good ON list_has_all(toks, ante))
 SELECT p.page_id, p.host, p.path, listed.best.rule AS rule,
@@ -74,7 +69,7 @@ SELECT doc_id, source, slot::BIGINT AS mix_slot,
 FROM slotted, ends
 """
 
-OP10 = r"""
+_LEDGER = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -93,7 +88,15 @@ b AS (
   SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
     + CASE WHEN 2 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN n_lines > 3 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
     + CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END)::BIGINT AS failure_bits FROM m)
-SELECT *, failure_bits & 3 <> 0 AS base_failed, failure_bits & 15 = 0 AS kept FROM b
+"""
+
+OP10 = f"{_LEDGER} SELECT *, failure_bits & 3 <> 0 AS base_failed, failure_bits & 15 = 0 AS kept, 'standard-1' AS policy FROM b"
+
+ABLATION = f"""{_LEDGER},
+r(policy, mask, rule, bit) AS (VALUES ('base-1', 3, 'few_words', 1), ('base-1', 3, 'repeated_windows', 2), ('standard-1', 15, 'few_words', 1),
+  ('standard-1', 15, 'repeated_windows', 2), ('standard-1', 15, 'symbol_heavy', 4), ('standard-1', 15, 'duplicate_lines', 8))
+SELECT policy, rule, count(*) FILTER (failure_bits & bit <> 0) AS n_failed, count(*) FILTER (failure_bits & mask = bit) AS n_only_this,
+  count(*) FILTER (failure_bits & mask <> 0) AS n_rejected, count(*) AS n_docs FROM b, r GROUP BY policy, mask, rule, bit
 """
 
 OP1 = """
@@ -104,7 +107,7 @@ d AS (
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::INT >> (15 - 5 * (i % 4)::INT)) & 31), 1)), '') AS payload_digest,
     max(page_id) OVER (PARTITION BY hex, payload_bytes) AS keeper FROM h)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM d
+  CASE WHEN page_id <> keeper THEN keeper END AS refers_to, true AS complete FROM d
 """
 
 OP5 = """
@@ -119,4 +122,4 @@ SELECT m.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, coalesce(c.component
 FROM embeddings m LEFT JOIN c ON c.u = m.vec_id LEFT JOIN n ON n.u = m.vec_id
 """
 
-SQL: dict[str, str] = {"op1_warc": OP1, "op5_vector_dedup": OP5, "op2_url_filters": OP2, "op8_mixing": OP8, "op10_quality_rules": OP10}
+SQL: dict[str, str] = {"op1_warc": OP1, "op5_vector_dedup": OP5, "op2_url_filters": OP2, "op8_mixing": OP8, "op10_quality_rules": OP10, "quality_ablation": ABLATION}

@@ -10,7 +10,8 @@ Everything here is DataFrame operations. Matching runs once per distinct URL.
 Defined results: a null URL, or one without ``://``, has an empty host and path
 and no tokens, so no rule fits and the verdict is ``default``; repeated rows each
 get the verdict of their URL; without labelled URLs no rule is mined; an empty
-table gives an empty result. Columns beyond those named are not read.
+table gives an empty result; tokens of a URL of any length are all used, each once.
+Columns beyond those named are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyfold.sources.shared import store
+
 BLOCK = "=block"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -81,14 +84,14 @@ def mine_rules(
     labelled: DataFrame,
     url_col: str = "url",
     block_col: str = "block",
-    min_support: float = 0.002,
-    min_count: int = 20,
+    min_support: float = 0.02,
+    min_count: int = 2,
     min_confidence: float = 0.6,
 ) -> DataFrame:
     """(antecedent, confidence, key) of the rules ``tokens => block`` that survive pruning.
 
     ``key`` is the antecedent's rarest token. Support is the share of labelled
-    URLs that hold the tokens and the label, and at least ``min_count`` of them. A
+    URLs that hold the tokens and the label; ``min_count`` of them there must be. A
     lift of one says nothing beyond the base rate; any above it will do, as more
     cannot be reached where most labels are block.
     """
@@ -101,7 +104,7 @@ def mine_rules(
     if n == 0:
         return spark.createDataFrame([], "antecedent array<string>, confidence double, key string")
     # a support above one cannot be asked for; with fewer URLs than min_count nothing passes the count below
-    support = min(1.0, max(min_support, min_count / n))
+    support = min(1.0, max(min_support, (min_count - 0.5) / n))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.where(
         (F.col("consequent") == F.array(F.lit(BLOCK)))
@@ -110,9 +113,18 @@ def mine_rules(
     ).select(F.sort_array("antecedent").alias("antecedent"), "confidence")
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("t"), "freq")
     keyed = rules.withColumn("t", F.explode("antecedent")).join(single, "t")
-    return keyed.groupBy("antecedent").agg(
+    keyed = keyed.groupBy("antecedent").agg(
         F.max("confidence").alias("confidence"), F.min(F.struct("freq", "t"))["t"].alias("key")
     )
+    # written, so that its size is known where tokens look up their rules
+    return store(keyed, "url-rules")
+
+
+def listed(pages: DataFrame, explicit: list[tuple[str, str, str]], url_col: str = "url") -> DataFrame:
+    """(url, block) of the rows that an explicit rule decides: labels that follow from the URL alone."""
+    url = F.col(url_col)
+    rule = explicit_rule(host_of(url), path_of(url), explicit)
+    return pages.select(url.alias("url"), (rule["verdict"] == "block").alias("block")).where("block is not null")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:

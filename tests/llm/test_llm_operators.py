@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from keyfold.llm import components, mixing, packing, quality_classifier, quality_rules, simhash, token_binary, toxicity, url_filters, vector_dedup, warc
-from keyfold.llm.queries import EXPLICIT, op2_url_filters, tokenizer_path
+from keyfold.llm.queries import EXPLICIT, op1_warc, op2_url_filters, op5_vector_dedup, tokenizer_path
 from keyfold.llm.tokenization import Encoder
 from keyfold.sources.shared import new_path, store
 
@@ -87,7 +87,7 @@ def test_warc_round_trip(spark):
         want.append((None if i is None else str(i), "response" if keep else "revisit", None if keep else str(largest[h or ""]), len(b), digest))
     assert found == sorted(want, key=repr)
     assert read.where("row_id = '4'").first().payload == big.encode()
-    segments = warc.read_records(spark, path, segmented=True)
+    segments = warc.read_records(spark, path).where("segment_number is not null")
     assert segments.count() > 6
     broken = warc.reassemble(segments.where("segment_number <> 2"))
     assert broken.where("complete").count() == 0
@@ -95,6 +95,28 @@ def test_warc_round_trip(spark):
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"))
 
 
+def test_warc_query(spark, tmp_path):
+    """The query itself: segments, revisits, nulls; without reassembly or with a lost segment it fails."""
+    rng = random.Random(4)
+    same, long = "x" * 6000, "".join(rng.choice("abc\r\n é") for _ in range(20_000))
+    htmls = [same, long, None, "", same, "short", long, "short", same]
+    spark.createDataFrame([(i, f"http://a/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in op1_warc(spark, str(tmp_path)).collect()}
+    for i, h in enumerate(htmls):
+        b = (h or "").encode()
+        last = max(j for j, x in enumerate(htmls) if (x or "") == (h or ""))
+        digest = base64.b32encode(hashlib.sha1(b).digest()).decode()
+        r = got[i]
+        assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.complete) == (len(b), digest, "response" if i == last else "revisit", None if i == last else last, True)
+    path = new_path(spark, "warc")
+    pages = spark.read.parquet(f"{tmp_path}/pages.parquet").withColumn("payload", F.coalesce(F.encode("html", "utf-8"), F.lit(b"")))
+    warc.write_archive(pages, path, "page_id", "url", "payload", chunk_bytes=1024, segment_bytes=4096)
+    read = warc.read_records(spark, path)
+    assert read.where("warc_type = 'continuation'").count() >= 6
+    lost = {r.row_id: r.complete for r in warc.reassemble(read.where("segment_number is not null and segment_number <> 2")).collect()}
+    assert lost == {"6": False, "8": False}
+
+
 def test_url_rules(spark):
     urls = ["https://a.example.org/en/12", "http://EXAMPLE.org/es/x?q", "http://x.org", "http://x.org/", "http://b.com/fr/1#t", "http://b.com/de/1", "http://notorg/", "no scheme", None, "http://myexample.org/es/", "ftp://h?x://y/z", "http://" + "a." * 3000 + "org/x"]
     d = spark.createDataFrame([(i, u, "k") for i, u in enumerate(urls)], "page_id long, url string, rule string")
@@ -116,7 +138,8 @@ def test_association_rules_are_mined_and_matched(spark):
     assert mined["p:casino",] == pytest.approx(0.8) and all("p:news" not in k for k in mined)
     d = spark.createDataFrame([(1, "http://new.net/win/casino/9"), (2, "http://new.net/news/9"), (3, None), (1, "http://new.net/win/casino/9")], "page_id long, url string")
     assert sorted((r.page_id, r.verdict) for r in url_filters.judge(d, [], rules).collect()) == [(1, "block"), (1, "block"), (2, "allow"), (3, "allow")]
-    assert op2_url_filters(spark, SF).count() == spark.read.parquet(f"{SF}/pages.parquet").count()
+    by = {r.decided_by: r["count"] for r in op2_url_filters(spark, SF).groupBy("decided_by").count().collect()}
+    assert sum(by.values()) == spark.read.parquet(f"{SF}/pages.parquet").count() and by["association"] > 0 and by["list"] > 0
 
 
 def test_association_rules_with_a_high_base_rate_and_many_tokens(spark):
@@ -139,6 +162,72 @@ def auc(y, p):
     return (rank[np.array(y) == 1].sum() - n1 * (n1 + 1) / 2) / n1 / (len(y) - n1)
 
 
+def test_toxicity_windows_against_a_plain_pass():
+    """Worst windows, word scores and document scores by loops over strings."""
+    rng = random.Random(12)
+    scores = [[rng.uniform(-1, 1) for _ in range(rng.choice([1, 2, 4, 5, 6, 11]))] for _ in range(40)]
+    flat, windows = np.array([x for own in scores for x in own]), toxicity.Windows(np.array(list(map(len, scores))))
+    best, _ = windows.worst(flat)
+    at, owner = windows.places(flat)
+    first = 0
+    for i, own in enumerate(scores):
+        plain = [sum(own[i : i + 5]) / len(own[i : i + 5]) for i in range(max(1, len(own) - 4))]
+        assert best[i] == pytest.approx(max(plain))
+        start = first + plain.index(max(plain))
+        assert at[owner == i].tolist() == list(range(start, start + min(5, len(own))))
+        first += len(own)
+    model = toxicity.Model(np.random.default_rng(0).normal(size=toxicity.BUCKETS).astype(np.float32), 0.3)
+
+    def word(w):
+        data = b"<" + w.encode() + b">"
+        grams = []
+        for n in (3, 4, 5):
+            for i in range(len(data) - n + 1):
+                h = n * 0x9E3779B97F4A7C15 % 2**64
+                for byte in data[i : i + n]:
+                    h = (h ^ byte) * 0x100000001B3 % 2**64
+                grams.append((h ^ h >> 32) % toxicity.BUCKETS)
+        h = sum((byte + 1) * 0x100000001B3 ** (i + 1) for i, byte in enumerate(data)) % 2**64
+        return np.mean([model.contribution[g] for g in [*grams, (h ^ h >> 29) % toxicity.BUCKETS]])
+
+    texts = ["one two, three", "a b c d e f", "Zwölf (Boxkämpfer) jagen Viktor quer über den großen Sylter Deich", "", None]
+    for text, got in zip(texts, toxicity.Scorer(model).scores(texts)):
+        own = [word(w.strip(toxicity.STRIP)) for w in (text or "").lower().split()]
+        windows = [np.mean(own[i : i + 5]) for i in range(max(1, len(own) - 4))] if own else [0.0]
+        assert got == pytest.approx(1 / (1 + np.exp(-max(windows) - 0.3)), rel=1e-5)
+
+
+def test_toxicity_gradients():
+    rng = np.random.default_rng(3)
+    bags = toxicity.Bags(rng.integers(0, 9, 40), np.sort(rng.integers(0, 12, 40)), np.bincount(np.arange(12)) * 5.0)
+    params = [rng.normal(size=(9, 4)), rng.normal(size=(4, 2)), rng.normal(size=2)]
+    owner = np.repeat(np.arange(6), 3)
+    rest = rng.integers(0, 12, 18), owner, rng.uniform(0, 1, 6), rng.uniform(1, 3, 6), 0.3
+    _, grads = bags.loss(params, *rest)
+    for p, g in zip(params, grads):
+        for i in np.ndindex(p.shape):
+            old, step = p[i], 1e-6
+            p[i] = old + step
+            up = bags.loss(params, *rest)[0]
+            p[i] = old - step
+            down = bags.loss(params, *rest)[0]
+            p[i] = old
+            assert (up - down) / (2 * step) == pytest.approx(g[i], abs=1e-6)
+
+
+def test_toxicity_training_rows_are_bounded(spark, monkeypatch):
+    """Repeated ids, null texts and long texts; no more rows or bytes than asked for."""
+    rows = [(1, None, 1), (1, "bad word", 1), (1, "bad word", 1), (2, "fine", 0), (2, "x" * 1000, 0), (None, "y", 1)] + [(i, f"text {i}", i % 2) for i in range(10, 40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = d.select("doc_id", "toxic")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: seen.append((texts, y)))
+    for more in ({}, {"max_rows": 7}, {"max_bytes": 40}, {"max_bytes": 0}):
+        toxicity.train(d, labels, **more)
+    assert sorted(seen[0][0]) == sorted(["", "bad word", "fine", "x" * 1000] + [f"text {i}" for i in range(10, 40)]) and len(seen[1][0]) == 7
+    assert all(len(t) == len(y) for t, y in seen) and sum(map(len, seen[2][0])) <= 40 and sum(map(len, seen[3][0])) == 0
+
+
 def test_toxicity_finds_unseen_spellings(spark, docs):
     rng = random.Random(0)
     usual, bad = [a + b + c for a in "lo mi ra te".split() for b in "na po ki".split() for c in ("", "s", "ra")], ["grumpfeld", "snarkbile", "blathmor"]
@@ -229,6 +318,55 @@ def test_vectors_against_brute_force(spark):
     assert vector_dedup.near_duplicates(d.where("vec_id >= 5000")).count() == len(odd)
 
 
+def check_vectors(d, rows, got, threshold=0.95):
+    """Links and components of ``rows`` (id, vector) against all cosines, length by length."""
+    want = {}
+    for length in {len(v) for _, v in rows}:
+        own = [r for r in rows if len(r[1]) == length]
+        unit = np.array([v for _, v in own], float)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        link = unit @ unit.T >= threshold
+        np.fill_diagonal(link, False)
+        comp = grouped(len(own), lambda i, j: link[i, j])
+        want |= {own[i][0]: (int(link[i].sum()), own[comp[i]][0], comp[i] == i) for i in range(len(own))}
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got.collect()} == want
+    return sum(w[0] for w in want.values())
+
+
+@pytest.mark.parametrize("rank", [4, 8, 64])
+def test_vector_links_lose_none(spark, rank):
+    """Planted links over many cells; where vectors lie in few directions, most neighbours are across a boundary."""
+    rng = np.random.default_rng(rank)
+    basis = np.linalg.qr(rng.normal(size=(64, 64)))[0][:rank]
+    base = rng.normal(size=(1500, rank))
+    near = base[rng.integers(0, 1500, 500)] + rng.normal(size=(500, rank)) * rng.uniform(0.1, 0.35, (500, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, near]) @ basis)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert vector_dedup.cells_for(len(rows), 1) == 44
+    assert check_vectors(d, rows, vector_dedup.near_duplicates(d, root_share=1)) > 200
+
+
+def test_vector_query_with_planted_links(spark, tmp_path):
+    """The query over single-precision vectors of three lengths."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for length, n in ((64, 600), (8, 90), (3, 2)):
+        x = rng.normal(size=(n, length))
+        x[n // 2 :] = x[: n - n // 2] + rng.normal(size=(n - n // 2, length)) * 0.1
+        rows += [(len(rows) + i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert check_vectors(None, rows, op5_vector_dedup(spark, str(tmp_path))) > 600
+
+
+def test_many_cells_are_fitted_by_groups(monkeypatch):
+    monkeypatch.setattr(vector_dedup, "MANY", 16)
+    assert vector_dedup.cells_for(10_000, 1) == 100
+    x = np.random.default_rng(1).normal(size=(800, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = vector_dedup.fit(x, 100, 0.95)
+    assert 100 <= len(index.centres) <= 112 and np.allclose(np.linalg.norm(index.centres, axis=1), 1)
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 7), (3, None)]
@@ -259,16 +397,30 @@ def test_simhash_against_brute_force(spark, docs):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({rows[c][0] for c in comp}) and sum(r.doc_id is None for r in kept) == 1
 
 
-def test_fingerprint_links_lose_none(spark):
+@pytest.mark.parametrize("hot", [0, 3, 64, 10_000])
+def test_fingerprint_links_lose_none(spark, hot):
+    """Whether every entry of the segment tables is hot, some are, or none is."""
     rng = random.Random(8)
     centre = rng.getrandbits(64)
     fps = {centre} | {centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (rng.getrandbits(1) << rng.randrange(64)) for _ in range(400)} | {rng.getrandbits(64) for _ in range(200)}
+    low = rng.getrandbits(32)  # one segment in common and the other by chance: candidates that the distance rejects
+    fps |= {rng.getrandbits(32) << 32 | low for _ in range(80)} | {0, 1, 3, 1 << 63, (1 << 64) - 1}
     fps = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
-    links = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"))
+    links = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), hot)
     got = {r.node: r.component for r in components.components(links).collect()}
     comp = grouped(len(fps), lambda i, j: ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= 2)
     assert [got.get(x, x) for x in fps] == [fps[c] for c in comp]
     assert links.where("bit_count(u ^ v) > 2").count() == 0
+    if hot == 10_000:  # then every pair is a link of its own
+        pairs = {(max(a, b), min(a, b)) for i, a in enumerate(fps) for b in fps[:i] if ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
+        assert {(r.u, r.v) for r in links.collect()} == pairs
+
+
+def test_one_of_each_keeps_other_texts_of_an_id(spark):
+    long = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    d = spark.createDataFrame([(1, long[0], 7), (1, long[1], 7), (1, long[0], 7), (2, long[0], 7), (3, long[2], 7)], "doc_id long, text string, fp int")
+    assert sorted((r.doc_id, r.text) for r in simhash.one_of_each(d).collect()) == [(1, long[0]), (1, long[1]), (3, long[2])]
+    assert simhash.one_of_each(d).columns == d.columns
 
 
 def test_edf_stays_within_one_block():
