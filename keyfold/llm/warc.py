@@ -15,7 +15,9 @@ payload's digest verified.
 Defined results: a null payload is empty; a null URL has no target field, line
 breaks in a URL are percent-encoded; a null id has no id field and is null again
 when read; rows that repeat id and payload are the same record, written and read
-as often; an empty table reads back empty; other columns are not written.
+as often; of equal payloads under equal ids either is the response; a payload of any
+length is cut into chunks and segments; an empty table reads back empty; other
+columns are not written.
 """
 
 from __future__ import annotations
@@ -36,6 +38,9 @@ RAW = (
     "record_id string, row_id string, warc_type string, target_uri string, payload_digest string, refers_to string, "
     "origin_id string, segment_number int, total_length long, block binary"
 )
+FIELDS = [x.split()[0] for x in RAW.split(", ")]
+#: Bytes of blocks that a reader hands on together, about.
+BATCH_BYTES = 8 << 20
 
 
 def base32(digest: Column) -> Column:
@@ -82,7 +87,8 @@ def records(
     plain = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("p")).withColumn("sha", F.sha1("p"))
     plain = plain.withColumn("record_id", record_id(F.col("id"), F.col("sha")))
     digests = store(plain.where(F.octet_length("p") >= min_bytes).select("id", "sha", "record_id"), "digests")
-    d = plain.join(decide(digests), "record_id", "left")
+    # written, so that its size is known: payloads are only shuffled where there are many revisits
+    d = plain.join(store(decide(digests), "revisits"), "record_id", "left")
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     own = F.concat(
         F.coalesce(F.concat(F.lit("WARC-Target-URI: "), url, F.lit("\r\n")), F.lit("")),
@@ -163,23 +169,24 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = start + size + 4
 
 
-def read_records(spark: SparkSession, path: str, segmented: bool | None = None) -> DataFrame:
-    """The records of all archives below ``path``; ``segmented`` keeps only segments, or only whole records."""
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all archives below ``path`` as they stand there, segments apart."""
     names = ["warc-record-id", "x-row-id", "warc-type", "warc-target-uri", "warc-payload-digest", "warc-refers-to", "warc-segment-origin-id"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string()] * 7 + [pa.int32(), pa.int64(), pa.binary()]
         for batch in batches:
             for content in batch.column(0):
-                rows = []
+                rows, size = [], 0
                 for f, block in parse(content.as_py()):
-                    number = f.get("warc-segment-number")
-                    if segmented is None or segmented == (number is not None):
-                        total = f.get("warc-segment-total-length")
-                        rows.append((*map(f.get, names), number and int(number), total and int(total), block))
-                for i in range(0, len(rows), 2000):
-                    columns = zip(*rows[i : i + 2000])
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], [x.split()[0] for x in RAW.split(", ")])
+                    number, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
+                    rows.append((*map(f.get, names), number and int(number), total and int(total), block))
+                    size += len(block)
+                    if size > BATCH_BYTES or len(rows) == 2000:
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], FIELDS)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], FIELDS)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, RAW)
 
@@ -225,10 +232,14 @@ def decode_http(message: bytes) -> bytes:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Whole records with decoded ``payload`` and ``digest_ok``; a revisit's payload is null."""
+    """Whole records with decoded ``payload`` and ``digest_ok``; a revisit's payload is null.
+
+    Archives are parsed once; only segments are shuffled.
+    """
     names = ["record_id", "row_id", "warc_type", "target_uri", "payload_digest", "refers_to", "complete", "block"]
-    whole = read_records(spark, path, segmented=False).withColumn("complete", F.lit(True)).select(names)
-    joined = whole.unionByName(reassemble(read_records(spark, path, segmented=True)).select(names))
+    read = store(read_records(spark, path), "warc-parsed")
+    whole = read.where("segment_number is null").withColumn("complete", F.lit(True)).select(names)
+    joined = whole.unionByName(reassemble(read.where("segment_number is not null")).select(names))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,10 +254,12 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 def resolve(read: DataFrame) -> DataFrame:
     """``read`` (stored, without payloads) with the response's row id and size on its revisits."""
-    r = read.where("warc_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("row_id").alias("refers_row"), F.col("payload_bytes").alias("__n"), F.col("digest").alias("__d")).distinct()
-    return read.join(r, "refers_to", "left").select(
-        *[c for c in read.columns if c not in ("payload_bytes", "digest")],
-        "refers_row",
-        F.coalesce("payload_bytes", "__n").alias("payload_bytes"),
-        F.coalesce("digest", "__d").alias("digest"),
+    kept = [c for c in read.columns if c not in ("payload_bytes", "digest")]
+    responses, revisits = read.where("refers_to is null"), read.where("refers_to is not null")
+    named = responses.where("warc_type = 'response'").select(
+        F.col("record_id").alias("refers_to"), F.col("row_id").alias("refers_row"), F.col("payload_bytes").alias("__n"), F.col("digest").alias("__d")
+    )
+    found = revisits.join(named.distinct(), "refers_to", "left").select(
+        *kept, "refers_row", F.coalesce("payload_bytes", "__n").alias("payload_bytes"), F.coalesce("digest", "__d").alias("digest")
     )
+    return found.unionByName(responses.select(*kept, F.lit(None).cast("string").alias("refers_row"), "payload_bytes", "digest"))
