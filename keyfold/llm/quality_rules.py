@@ -4,9 +4,10 @@
 bit per failed rule next to the measurements. Policies are versioned masks over
 those bits, so a new policy or an ablation never reads the texts again.
 
-Defined results: a null text counts as empty; an empty table gives an empty
-ledger; repeated rows each get their own row; columns of the input other than
-the id and the text are not read, so their names cannot clash.
+Defined results: a null text counts as empty; a text of any length is measured
+whole; an empty table gives an empty ledger; repeated rows and rows with a null id
+each get their own row; columns of the input other than the id and the text are not
+read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -98,10 +99,10 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     d = d.withColumn("p", _repeat_words(F.col("h"), F.col("s"))).drop("h", "s", "again")
     spans = F.transform("p", lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("p"), i + 1) - x, F.lit(WINDOW))))
     covered = F.coalesce(F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
-    # a zero that the optimizer cannot see through: else a filter on the result is pushed
-    # below every step above, and each step copies the one before it
-    barrier = F.floor(F.rand(0) * 0)
-    return d.select(F.col("__id").alias(id_col), *kept, *MEASURES[:-1], (covered + barrier).alias("n_repeat_words"))
+    # generated as rows of their own, so that a filter on the result stays above: pushed
+    # below the steps above, each step would copy the one before it
+    found = F.struct(*MEASURES[:-1], covered.alias("n_repeat_words"))
+    return d.select(F.col("__id").alias(id_col), *kept, F.inline_outer(F.array(found)))
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
