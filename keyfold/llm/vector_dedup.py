@@ -1,28 +1,30 @@
 """Near-duplicate vectors by product quantisation.
 
 Unit vectors fall into the cells of a coarse quantiser; residuals are coded by
-subspace codebooks. A vector probes each cell whose boundary lies near enough:
-a partner at the threshold's distance r can be across the boundary between cells
-A and B only if x.A - x.B <= r |A - B|; the ``slack`` share of that bound is
-probed (1 is a guarantee; the default is three standard deviations of a partner in
-a random direction, and either of the two finding the other is enough). Within a cell, table lookups give asymmetric distances; as
-each code's error norm is kept, a member is dropped only if even that error could
-not lift it to the threshold. What is left is reranked by exact cosine in double
-precision. Links are counted and connected block by block: a block returns one
-row a vector, never its pairs. Large cells are cut into blocks of bounded size.
-
-Equal vectors are one class with a count before that. The quantisers are fitted
-on at most ``sample`` classes, chosen by hash; every vector is indexed.
-
-Defined results: vectors that are null, empty, zero, hold null or non-finite
-components, or differ in length from most, have no links and are their own
-component; rows with a null id take no part and get null; repeated rows count as
-links of each other; an empty table gives an empty result; other columns are not
-read.
+subspace codebooks. Let x lie in cell A and y in cell B, at a distance of r at most.
+Then x.A - x.B and y.B - y.A are not negative and sum to (x - y).(A - B) <= r |A - B|,
+so the lesser one is at most half of that: a vector probes the cells within half of
+the bound, and of two linked vectors one finds the other, whatever the vectors are.
+Within a cell, table lookups give asymmetric distances; as each code's error norm is
+kept, a member is dropped only if even that error could not lift it to the threshold.
+What is left is reranked by exact cosine in double precision. Links are counted and
+connected block by block: a block returns one row a vector, never its pairs. Large
+cells are cut into blocks of bounded size.
+
+Equal vectors are one class with a count before that. Each length of vector has its
+own index. The quantisers are fitted on at most ``sample`` classes (four a cell where
+there are more cells than that), chosen by hash; every vector is indexed.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite
+components have no links and are their own component; vectors of different lengths
+do not link; rows with a null id take no part and get null; repeated rows count as
+links of each other; a cosine of just the threshold links; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +36,10 @@ from pyspark.sql import functions as F
 from keyfold.llm.components import components
 from keyfold.sources.shared import store
 
-CELL_ROWS = 256
-MAX_CELLS = 1024
+#: Cells grow with the root of the classes: as many as the root, over this.
+ROOT_SHARE = 4
+#: More centres than this are fitted group by group.
+MANY = 1024
 MEMBERS, QUERIES = 1024, 2048
 CODES = 256
 
@@ -54,6 +58,21 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, unit:
     return centres
 
 
+def _centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """``k`` unit centres; many of them group by group, so that the time grows with their root."""
+    if k <= MANY:
+        return _kmeans(x, k, 10, rng, unit=True)
+    top = _kmeans(x, math.isqrt(k), 10, rng, unit=True)
+    of = np.concatenate([np.argmax(x[i : i + 4096] @ top.T, axis=1) for i in range(0, len(x), 4096)])
+    groups = [x[of == g] for g in range(len(top))]
+    return np.concatenate([_kmeans(own, -(-k * len(own) // len(x)), 10, rng, unit=True) for own in groups if len(own)])
+
+
+def cells_for(rows: int, share: int = ROOT_SHARE) -> int:
+    """The cells of an index of ``rows`` classes."""
+    return max(1, math.isqrt(rows) // share)
+
+
 @dataclass
 class Index:
     """Coarse centres, subspace cuts and codebooks."""
@@ -79,25 +98,27 @@ class Index:
         return cell, probes, codes, np.sqrt(error)
 
     def approximate(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Dot products of exact queries with coded members, by table lookup."""
-        out = np.repeat((queries @ self.centres[cell])[:, None], len(codes), 1)
+        """Dot products of coded members with exact queries, by table lookup: a row a member, in single precision."""
+        out = np.empty((len(codes), len(queries)), np.float32)
+        out[:] = queries @ self.centres[cell]
         for s, book in enumerate(self.books):
-            out += (queries[:, self.cuts[s] : self.cuts[s + 1]] @ book.T)[:, codes[:, s]]
+            table = (book @ queries[:, self.cuts[s] : self.cuts[s + 1]].T).astype(np.float32)  # a row a code
+            for i in range(0, len(codes), 128):
+                out[i : i + 128] += table.take(codes[i : i + 128, s], axis=0)
         return out
 
 
-def fit(sample: np.ndarray, rows: int, threshold: float, slack: float | None = None, subspaces: int = 8, seed: int = 0) -> Index:
-    """Fit the quantisers on unit vectors; ``rows`` is the number of classes to index."""
+def fit(sample: np.ndarray, cells: int, threshold: float, subspaces: int = 8, seed: int = 0) -> Index:
+    """Fit the quantisers on unit vectors."""
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
-    slack = min(1.0, 3 / np.sqrt(dim)) if slack is None else slack
-    cells = int(np.clip(rows // CELL_ROWS, 1, min(MAX_CELLS, len(sample))))
-    centres = _kmeans(sample, cells, 10, rng, unit=True)
-    residual = sample - centres[np.argmax(sample @ centres.T, axis=1)]
+    centres = _centres(sample, min(cells, len(sample)), rng)
+    near = np.concatenate([np.argmax(sample[i : i + 4096] @ centres.T, axis=1) for i in range(0, len(sample), 4096)])
+    residual = sample - centres[near]
     cuts = np.linspace(0, dim, min(subspaces, dim) + 1).astype(int).tolist()
     books = [_kmeans(residual[:, a:b], min(CODES, len(sample)), 8, rng) for a, b in zip(cuts, cuts[1:])]
     apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
-    return Index(centres, cuts, books, slack * np.sqrt(2 * (1 - threshold)) * apart + 1e-9)
+    return Index(centres, cuts, books, 0.5 * np.sqrt(2 * (1 - threshold)) * apart + 1e-9)
 
 
 def _connect(q: np.ndarray, m: np.ndarray, q_ids: np.ndarray, m_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,12 +134,11 @@ def _connect(q: np.ndarray, m: np.ndarray, q_ids: np.ndarray, m_ids: np.ndarray)
 
 def _links(index: Index, cell: int, q: np.ndarray, m: np.ndarray, codes: np.ndarray, error: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Links (query, member) of one block: lookups first, then the exact cosine of what may pass."""
-    maybe = index.approximate(q, cell, codes) + error[None, :] >= threshold - 1e-6
-    n = np.count_nonzero(maybe)
-    if 16 * n > maybe.size:
-        return np.nonzero(maybe & (q @ m.T >= threshold))
-    a, b = np.nonzero(maybe)
-    good = np.concatenate([np.einsum("ij,ij->i", q[a[i : i + 65536]], m[b[i : i + 65536]]) >= threshold for i in range(0, n, 65536)] or [np.zeros(0, bool)])
+    least = (threshold - 1e-5 - error).astype(np.float32)
+    b, a = np.nonzero(index.approximate(q, cell, codes) >= least[:, None])
+    # one sum for each pair, whatever block it stands in
+    good = [np.einsum("ij,ij->i", q[a[i : i + 65536]], m[b[i : i + 65536]]) >= threshold for i in range(0, len(a), 65536)]
+    good = np.concatenate([*good, np.zeros(0, bool)])
     return a[good], b[good]
 
 
@@ -127,35 +147,15 @@ def _unit(column: pd.Series, dim: int, kind: str) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 20_000, slack: float | None = None
-) -> DataFrame:
-    """(id, n_links, component_id, kept) per row."""
-    spark = vectors.sparkSession
-    # single-precision components travel as such; all arithmetic is double
-    kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
-    usable = (
-        F.col("id").isNotNull()
-        & (F.size("x") > 0)
-        & F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-        & F.exists("x", lambda e: e != 0)
-    )
-    v = v.select("id", "x", F.when(usable, F.xxhash64("x")).alias("cid"))
-    sizes = v.where("cid is not null").groupBy(F.size("x").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    nothing = v.select(
-        F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept")
-    )
-    if sizes is None:
-        return nothing
-    dim = sizes["dim"]
-    v = v.withColumn("cid", F.when(F.size("x") == dim, F.col("cid")))
-    classes = v.where("cid is not null").groupBy("cid").agg(F.first("x").alias("x"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n"))
-    classes = store(classes, "vector-classes")
+def _found(classes: DataFrame, dim: int, kind: str, threshold: float, sample: int, root_share: int) -> DataFrame:
+    """(cid, links, hub) of the blocks: links of a class there, and the smallest class that it reaches."""
+    spark = classes.sparkSession
     rows = classes.count()
-    picked = classes.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("x").toPandas()["x"]
+    cells = cells_for(rows, root_share)
+    picked = classes.orderBy(F.xxhash64("cid"), "cid").limit(max(sample, 4 * cells)).select("x").toPandas()["x"]
     known = np.stack(picked.to_numpy()).astype(float)
-    index = fit(known / np.linalg.norm(known, axis=1, keepdims=True), rows, threshold, slack)
+    index = fit(known / np.linalg.norm(known, axis=1, keepdims=True), cells, threshold)
+    cells = len(index.centres)
     shared = spark.sparkContext.broadcast(index)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,20 +169,16 @@ def near_duplicates(
                 )
 
     indexed = store(classes.select("cid", "n", "x").mapInPandas(assign, "cid long, n long, v binary, cell int, probes array<int>, codes binary, error double"), "vector-index")
-    cells = len(index.centres)
     members = {r[0]: r[1] for r in indexed.groupBy("cell").count().collect()}  # a row a cell
     queries = {r[0]: r[1] for r in indexed.select(F.explode("probes").alias("p")).groupBy("p").count().collect()}
-    m_blocks = [max(1, -(-members.get(c, 0) // MEMBERS)) for c in range(cells)]
-    q_blocks = [max(1, -(-queries.get(c, 0) // QUERIES)) for c in range(cells)]
-
-    def blocks(counts: list[int], cell: str):
-        return F.get(F.expr("array(" + ",".join(map(str, counts)) + ")"), F.col(cell))
-
+    blocks = spark.createDataFrame(
+        [(c, max(1, -(-members.get(c, 0) // MEMBERS)), max(1, -(-queries.get(c, 0) // QUERIES))) for c in range(cells)], "p int, m_blocks int, q_blocks int"
+    )
     mix = F.xxhash64("cid", F.lit(1))
-    asks = indexed.select("cid", "n", "v", "cell", F.explode("probes").alias("p"))
-    asks = asks.select("cid", "n", "v", "cell", "p", F.pmod(mix, blocks(q_blocks, "p")).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), blocks(m_blocks, "p") - 1)).alias("mb"))
-    holds = indexed.where(F.size("probes") > 0).select(
-        "cid", "n", "v", "probes", "codes", "error", F.col("cell").alias("p"), F.pmod(mix, blocks(m_blocks, "cell")).cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), blocks(q_blocks, "cell") - 1)).alias("qb")
+    asks = indexed.select("cid", "n", "v", "cell", F.explode("probes").alias("p")).join(blocks, "p")
+    asks = asks.select("cid", "n", "v", "cell", "p", F.pmod(mix, F.col("q_blocks")).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)).alias("mb"))
+    holds = indexed.withColumn("p", F.col("cell")).join(blocks, "p").select(
+        *[F.col(c).alias(c) for c in ("cid", "n", "v", "probes", "codes", "error", "p")], F.pmod(mix, F.col("m_blocks")).cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb")
     )
 
     def match(key: tuple, ask: pd.DataFrame, hold: pd.DataFrame) -> pd.DataFrame:
@@ -207,8 +203,34 @@ def near_duplicates(
         out = pd.DataFrame({"cid": np.append(q_ids, m_ids), "links": np.append(q_links, m_links), "hub": np.append(q_hub, m_hub)})
         return out[(out["links"] > 0) | (out["cid"] != out["hub"])]
 
-    found = asks.groupBy("p", "qb", "mb").cogroup(holds.groupBy("p", "qb", "mb")).applyInPandas(match, "cid long, links long, hub long")
-    found = store(found, "vector-links")
+    return asks.groupBy("p", "qb", "mb").cogroup(holds.groupBy("p", "qb", "mb")).applyInPandas(match, "cid long, links long, hub long")
+
+
+def near_duplicates(
+    vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 20_000, root_share: int = ROOT_SHARE
+) -> DataFrame:
+    """(id, n_links, component_id, kept) per row."""
+    # single-precision components travel as such; all arithmetic is double
+    kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
+    usable = (
+        F.col("id").isNotNull()
+        & (F.size("x") > 0)
+        & F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+        & F.exists("x", lambda e: e != 0)
+    )
+    v = v.select("id", "x", F.when(usable, F.xxhash64("x")).alias("cid"))
+    classes = v.where("cid is not null").groupBy("cid").agg(F.first("x").alias("x"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n"))
+    classes = store(classes, "vector-classes")
+    sizes = classes.groupBy(F.size("x").alias("dim")).count().orderBy("dim").collect()  # a row a length
+    found = None
+    for r in sizes:
+        if r["count"] == 1:
+            continue
+        own = store(_found(classes.where(F.size("x") == r["dim"]), r["dim"], kind, threshold, sample, root_share), "vector-links")
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], "cid long, links long, hub long")
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("cid").alias("u"), F.col("hub").alias("v")))
     d = classes.drop("x").join(counts, "cid", "left").join(labels, F.col("cid") == F.col("node"), "left")
