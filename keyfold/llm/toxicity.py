@@ -1,21 +1,22 @@
 """Toxicity from subword bags: character n-gram embeddings under a linear softmax.
 
 A word is the mean of the embeddings of itself and its n-grams (with word
-boundaries), a
-window the mean of its words; softmax over a linear layer gives its class. A
-document scores as its most toxic window, so a few words count the same in a
-long text as in a short one. Embeddings and layer are trained jointly in numpy,
-first on whole-document means, then on the worst windows. n-grams are shared by
-unseen misspellings. For scoring, a word comes down to two numbers, which each
-worker keeps.
+boundaries), a window the mean of its words; softmax over a linear layer gives its
+class. A document scores as its most toxic window, so a few words count the same in
+a long text as in a short one; windows begin at every word and overlap. Embeddings
+and layer are trained jointly in numpy, first on whole-document means, then on the
+worst windows. n-grams are shared by unseen misspellings. For scoring, a word comes
+down to one number, which each worker keeps.
 
-Training takes at most ``max_rows`` labelled documents, chosen by a hash of
-their id; scoring reads every whole text.
+Training takes at most ``max_rows`` labelled documents of together at most
+``max_bytes``, chosen by a hash of id and text; scoring reads every whole text.
 
 Defined results: a null or empty text has one empty window and scores by the
-bias alone; repeated rows score alike; without usable labels of both classes
-every score is the share of label 1 (0.5 without labels); an empty table gives
-an empty result; columns beyond id and text are not read.
+bias alone; texts below the size of a window are one window, texts of any length
+have all of theirs; repeated rows score alike, and count once in training; without
+usable labels of both classes every score is the share of label 1 (0.5 without
+labels); an empty table gives an empty result; columns beyond id and text are not
+read.
 """
 
 from __future__ import annotations
@@ -91,14 +92,66 @@ class Model:
         return sums / _counts(grams, first)
 
 
-def _windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and sizes of the windows of documents laid end to end, and each document's first window."""
-    counts = np.maximum(1, -(-lengths // WINDOW))
-    first = np.cumsum(counts) - counts
-    nth = np.arange(counts.sum()) - np.repeat(first, counts)
-    offset = np.repeat(np.cumsum(lengths) - lengths, counts) + nth * WINDOW
-    size = np.minimum(WINDOW, np.repeat(lengths, counts) - nth * WINDOW)
-    return offset, size, first
+class Windows:
+    """The windows of documents of one word at least, laid end to end."""
+
+    def __init__(self, lengths: np.ndarray):
+        self.n, self.lengths = int(lengths.sum()), lengths
+        self.first = np.cumsum(lengths) - lengths
+        self.size = np.minimum(lengths, WINDOW)
+        self.outside = np.repeat(self.first + lengths, lengths) - np.arange(self.n) < WINDOW  # they would reach into the next document
+        self.short = np.flatnonzero(lengths < WINDOW)
+
+    def worst(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(mean, total of each window's words by its first word), the mean that of each document's highest window."""
+        total = np.full(self.n, -np.inf)
+        if self.n >= WINDOW:
+            # a sum of its own for every window, so that equal texts get equal scores
+            inner = total[: self.n - WINDOW + 1]
+            inner[:] = word[: len(inner)]
+            for k in range(1, WINDOW):
+                inner += word[k : k + len(inner)]
+        total[self.outside] = -np.inf
+        if len(self.short):
+            total[self.first[self.short]] = np.add.reduceat(word, self.first)[self.short] * (WINDOW / self.lengths[self.short])
+        return np.maximum.reduceat(total, self.first) / WINDOW, total
+
+    def places(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, document) of the words of each document's first highest window."""
+        best, total = self.worst(word)
+        top = np.flatnonzero(total / WINDOW == np.repeat(best, self.lengths))
+        at = top[np.searchsorted(top, self.first)]
+        ends = np.cumsum(self.size)
+        return np.repeat(at - ends + self.size, self.size) + np.arange(ends[-1]), np.repeat(np.arange(len(at)), self.size)
+
+
+@dataclass
+class Bags:
+    """Words of the training texts and the n-grams of each word."""
+
+    grams: np.ndarray  # n-grams that have an embedding, word after word
+    word_of: np.ndarray  # the word of each
+    size: np.ndarray  # all n-grams of each word, with or without an embedding
+
+    def words(self, emb: np.ndarray, layer: np.ndarray) -> np.ndarray:
+        """Class 1 over class 0 for each word."""
+        c = emb @ (layer[:, 1] - layer[:, 0])
+        return np.bincount(self.word_of, c[self.grams], len(self.size)) / self.size
+
+    def loss(self, params: list[np.ndarray], picked: np.ndarray, owner: np.ndarray, target: np.ndarray, weight: np.ndarray, decay: float) -> tuple[float, list[np.ndarray]]:
+        """Weighted cross-entropy of softmax over the mean of each document's ``picked`` words, and its gradients."""
+        emb, layer, bias = params
+        n = len(target)
+        share = 1.0 / np.bincount(owner, minlength=n)
+        logit = np.bincount(owner, self.words(emb, layer)[picked], n) * share + bias[1] - bias[0]
+        logit = np.clip(logit, -30, 30)
+        p = 1 / (1 + np.exp(-logit))
+        value = (weight * (np.logaddexp(0, logit) - target * logit)).sum() / n + decay / (2 * n) * (emb**2).sum()
+        g = (p - target) * weight / n
+        word_g = np.bincount(picked, (g * share)[owner], len(self.size)) / self.size
+        c_g = np.bincount(self.grams, word_g[self.word_of], len(emb))
+        c_g2 = np.stack([-c_g, c_g], 1)
+        return value, [c_g2 @ layer.T + decay / n * emb, emb.T @ c_g2, np.array([-g.sum(), g.sum()])]
 
 
 def fit(
@@ -146,33 +199,21 @@ def fit(
         inside = number[grams] >= 0
         parts.append(number[grams[inside]])
         owners.append(np.repeat(np.arange(i, i + len(own), dtype=np.int32), counts)[inside])
-    grams, owner_word = np.concatenate(parts), np.concatenate(owners)
+    bags = Bags(np.concatenate(parts), np.concatenate(owners), n_grams)
     del words, parts, owners
-    offset, size, first_window = _windows(lengths)
-    doc_of_window = np.repeat(np.arange(len(y)), np.diff(np.append(first_window, len(offset))))
     rng = np.random.default_rng(seed)
     share = y.mean()
     params = [rng.normal(0, 0.1, (len(usual), dims)), rng.normal(0, 0.1, (dims, 2)), np.array([0.0, np.log(share / (1 - share))])]
     emb, layer, bias = params
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     doc_of, target = np.repeat(np.arange(len(y), dtype=np.int32), lengths), y * (1 - 2 * smoothing) + smoothing
+    weight, windows = np.where(y > 0, positive_weight, 1.0), Windows(lengths)
     for t in range(1, warm_up + rounds + 1):
-        c = emb @ (layer[:, 1] - layer[:, 0])
-        word = np.bincount(owner_word, c[grams], n_words) / n_grams
-        if t <= warm_up:
-            picked, owner, part = flat, doc_of, 1.0 / lengths
-        else:
-            window = np.add.reduceat(word[flat], offset) / size
-            top = np.flatnonzero(window == np.maximum.reduceat(window, first_window)[doc_of_window])
-            best = top[np.searchsorted(top, first_window)]
-            at = np.repeat(offset[best] - np.cumsum(size[best]) + size[best], size[best]) + np.arange(size[best].sum())
-            picked, owner, part = flat[at], np.repeat(np.arange(len(y)), size[best]), 1.0 / size[best]
-        logit = np.bincount(owner, word[picked], len(y)) * part + bias[1] - bias[0]
-        g = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - target) * np.where(y > 0, positive_weight, 1.0) / len(y)
-        word_g = np.bincount(picked, (g * part)[owner], n_words) / n_grams
-        c_g = np.bincount(grams, word_g[owner_word], len(usual))
-        c_g2 = np.stack([-c_g, c_g], 1)
-        grads = [c_g2 @ layer.T + decay / len(y) * emb, emb.T @ c_g2, np.array([-g.sum(), g.sum()])]
+        picked, owner = flat, doc_of
+        if t > warm_up:
+            at, owner = windows.places(bags.words(emb, layer)[flat])
+            picked = flat[at]
+        _, grads = bags.loss(params, picked, owner, target, weight, decay)
         for p, q, a, b in zip(params, grads, m, v):
             a += 0.1 * (q - a)
             b += 0.001 * (q * q - b)
@@ -182,15 +223,37 @@ def fit(
     return Model(contribution, float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", usable=None) -> Model:
-    """Fit on at most ``max_rows`` labelled documents. ``usable`` filters the label ids (column ``id``)."""
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    max_rows: int = 6000,
+    max_bytes: int = 64 << 20,
+    label_col: str = "toxic",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    usable=None,
+) -> Model:
+    """Fit on at most ``max_rows`` labelled documents of at most ``max_bytes``. ``usable`` filters the label ids (column ``id``).
+
+    The driver first takes ids and sizes, then the texts of the longest run of them,
+    in the order of their hashes, that keeps within the bytes.
+    """
     y = one_label(labels, label_col, "doc_id")
     if usable is not None:
         y = y.where(usable)
-    chosen = y.orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = sorted(d.select("id", "text", "y").collect())
-    return fit([r[1] or "" for r in rows], np.array([r[2] for r in rows]))
+    key = F.xxhash64(id_col, text_col).alias("h")
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n")
+    sizes = docs.select(F.col(id_col).alias("id"), key, size).join(y, "id")  # no texts meet the labels
+    sizes = sizes.groupBy("id", "h").agg(F.max("n").alias("n"), F.max("y").alias("y"))
+    chosen = sizes.orderBy("h", "id").limit(max_rows).collect()
+    kept = int(np.searchsorted(np.cumsum([r["n"] for r in chosen]), max_bytes, "right"))
+    if not kept:
+        return fit([], np.zeros(0))
+    named = docs.sparkSession.createDataFrame([(r["id"], r["h"], r["y"]) for r in chosen[:kept]], sizes.select("id", "h", "y").schema)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key).join(F.broadcast(named), ["id", "h"])
+    rows = rows.dropDuplicates(["id", "h"]).select("h", "text", "y").collect()
+    rows.sort(key=lambda r: (r["h"], r["text"] or ""))
+    return fit([r["text"] or "" for r in rows], np.array([r["y"] for r in rows]))
 
 
 class Scorer:
@@ -214,8 +277,7 @@ class Scorer:
         out = np.zeros(len(texts))
         full = np.flatnonzero(lengths)
         if len(full):
-            offset, size, first = _windows(lengths[full])
-            out[full] = np.maximum.reduceat(np.add.reduceat(flat, offset) / size, first)
+            out[full] = Windows(lengths[full]).worst(flat)[0]
         return 1 / (1 + np.exp(-np.clip(out + self.model.bias, -30, 30)))
 
 
