@@ -23,25 +23,30 @@ def rollup(feed: DataFrame, window: Column, tracked: int = 512, key: str = "key"
     d = feed.groupBy(window.alias("window"), key_token(F.col(key)).alias("token")).agg(
         F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), F.sum(F.octet_length("payload").cast("long")).alias("bytes")
     )
+    # the place of the last tracked token decides for all others, so only the first ones are ranked
     nth = F.row_number().over(W.partitionBy("window").orderBy("first_pos"))
-    return d.withColumn("tracked", nth <= tracked)
+    last = d.select("window", "first_pos", nth.alias("__nth")).where(F.col("__nth") <= tracked).groupBy("window").agg(F.max("first_pos").alias("__last"))
+    return d.join(last, "window").withColumn("tracked", F.col("first_pos") <= F.col("__last")).drop("__last")
+
+
+def _totals(counts: DataFrame) -> DataFrame:
+    """(window, total): records of all tokens, tracked or not."""
+    return counts.groupBy("window").agg(F.sum("n").alias("total"))
 
 
 def weighted_median(counts: DataFrame) -> DataFrame:
     """(window, median): the smallest tracked token at which the running count reaches half of all records, or null."""
-    running = F.sum(F.when(F.col("tracked"), F.col("n")).otherwise(0)).over(W.partitionBy("window").orderBy("token").rowsBetween(W.unboundedPreceding, 0))
-    total = F.sum("n").over(W.partitionBy("window"))
-    d = counts.withColumns({"__running": running, "__half": F.ceil(total / 2)})
-    return d.groupBy("window").agg(F.min(F.when(F.col("tracked") & (F.col("__running") >= F.col("__half")), F.col("token"))).alias("median"))
+    running = F.sum("n").over(W.partitionBy("window").orderBy("token").rowsBetween(W.unboundedPreceding, 0))
+    d = counts.where("tracked").withColumn("__running", running).join(_totals(counts), "window")
+    found = d.where(F.col("__running") >= F.ceil(F.col("total") / 2)).groupBy("window").agg(F.min("token").alias("median"))
+    return _totals(counts).select("window").join(found, "window", "left")
 
 
 def top_keys(counts: DataFrame, k: int = 8) -> DataFrame:
     """The ``k`` heaviest tracked tokens of each window with their share in basis points."""
-    w = W.partitionBy("window")
-    total = F.sum("n").over(w)
-    nth = F.row_number().over(w.orderBy(F.desc("n"), "token"))
-    d = counts.withColumn("total", total).where("tracked").withColumn("rank", nth)
-    return d.where(F.col("rank") <= k).select("window", "rank", "token", "n", basis_points(F.col("n"), F.col("total")).alias("share_bp"))
+    nth = F.row_number().over(W.partitionBy("window").orderBy(F.desc("n"), "token"))
+    d = counts.where("tracked").withColumn("rank", nth).where(F.col("rank") <= k).join(_totals(counts), "window")
+    return d.select("window", "rank", "token", "n", basis_points(F.col("n"), F.col("total")).alias("share_bp"))
 
 
 def next_tokens(counts: DataFrame) -> DataFrame:

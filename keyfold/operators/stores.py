@@ -106,12 +106,22 @@ def get_range(store: DataFrame, name: str, lower: Column, upper: Column, limit:
     return store.where((F.col(name) >= lower) & (F.col(name) < upper)).orderBy(name, key).limit(min(limit, MAX_ROWS))
 
 
-def iterate(store: DataFrame, after: str | None, limit: int, key: str = "key") -> DataFrame:
-    """A page in key order strictly after ``after``, with ``next_key`` if more rows follow."""
+def iterate(store: DataFrame, after: str | None, limit: int, key: str = "key", pinned: int | None = None) -> DataFrame:
+    """A page in key order strictly after ``after``, with ``next_key`` if more rows follow.
+
+    ``pinned`` is the sequence that ``store`` was folded up to, which all pages of one
+    iteration share (``pinned_seq``).
+    """
     d = store if after is None else store.where(F.col(key) > after)
     page = d.orderBy(key).limit(limit + 1)
     nth = F.row_number().over(W.orderBy(key))  # limit + 1 rows
     page = page.withColumn("__nth", nth)
     more = F.max("__nth").over(W.partitionBy()) > limit
     last = F.max(F.when(F.col("__nth") == limit, F.col(key))).over(W.partitionBy())
-    return page.withColumn("next_key", F.when(more, last)).where(F.col("__nth") <= limit).drop("__nth")
+    page = page.withColumn("next_key", F.when(more, last)).where(F.col("__nth") <= limit).drop("__nth")
+    return page if pinned is None else page.withColumn("pinned_seq", F.lit(pinned).cast("long"))
+
+
+def up_to(journal: DataFrame, sequence: int, order: str = "seq") -> DataFrame:
+    """The journal as it was at ``sequence``."""
+    return journal.where(F.col(order) <= sequence)

@@ -131,6 +131,12 @@ def store_iterate(spark, sf_dir):
     return stores.iterate(stores.fold(_journal(spark, sf_dir)), "k-3", 100).select("key", "seq", "next_key")
 
 
+def store_iterate_pinned(spark, sf_dir):
+    """A second page of the store as it was at sequence 900, whatever was put since."""
+    then = stores.fold(stores.up_to(_journal(spark, sf_dir), 900))
+    return stores.iterate(then, "k-5", 50, pinned=900).select("key", "seq", "next_key", "pinned_seq")
+
+
 def store_mutations(spark, sf_dir):
     return stores.effective(_journal(spark, sf_dir)).select("seq", "mutation_id", "status")
 
@@ -233,7 +239,7 @@ live AS (SELECT *, row_number() OVER (ORDER BY work_id) - 1 AS nth FROM leases W
 cov AS (SELECT w::INT AS window, coalesce((SELECT min(work_id) FROM live WHERE pin AND (w = i * 3 OR w = i * 3 + 1)), (SELECT work_id FROM live WHERE nth = w % (SELECT count(*) FROM live))) AS work_id FROM range(256) r(w))"""
 DIVIDED = f'{WITH}, {COVER}, d AS (SELECT feed.*, (\'0x\' || substr(sha256(key), 15, 2))::INT AS win FROM feed), c AS (SELECT "window" AS win FROM cov WHERE work_id IN (\'w-00\', \'w-03\'))'
 
-QUERIES = {f.__name__: f for f in (index_latest, index_exact, index_exact_null, index_prefix, index_range, index_range_open, index_unique_first, index_resolve, index_gaps, index_delete, index_retire, index_page_bytes, index_latest_posting, index_claims_fold, store_fold, store_get_by, store_range, store_iterate, store_mutations, store_unique_fold, store_accumulate, store_accumulate_claims, sub_starts, sub_fetch, sub_seek_timestamp, sub_delivery_delay, sub_coverage, sub_windowed_deliver, sub_deferred, sub_attempts, frontier_split, frontier_merge)}
+QUERIES = {f.__name__: f for f in (index_latest, index_exact, index_exact_null, index_prefix, index_range, index_range_open, index_unique_first, index_resolve, index_gaps, index_delete, index_retire, index_page_bytes, index_latest_posting, index_claims_fold, store_fold, store_get_by, store_range, store_iterate, store_iterate_pinned, store_mutations, store_unique_fold, store_accumulate, store_accumulate_claims, sub_starts, sub_fetch, sub_seek_timestamp, sub_delivery_delay, sub_coverage, sub_windowed_deliver, sub_deferred, sub_attempts, frontier_split, frontier_merge)}
 SQL = {
     "index_latest": f"{INDEX} SELECT * FROM i",
     "index_exact": f"{INDEX} SELECT * FROM i WHERE event_type = 'click' AND tag_type = 1 AND tag_value = 'true' ORDER BY key LIMIT 1000",
@@ -256,6 +262,7 @@ SQL = {
     "store_get_by": f"{STORE} SELECT key, seq, amount FROM s WHERE named = 'view' ORDER BY key LIMIT 1000",
     "store_range": f"{STORE} SELECT key, amount FROM s WHERE amount >= 1000 AND amount < 4000 ORDER BY amount, key LIMIT 1000",
     "store_iterate": f"{STORE}, p AS (SELECT key, seq, row_number() OVER (ORDER BY key) AS n FROM s WHERE key > 'k-3') SELECT key, seq, CASE WHEN (SELECT max(n) FROM p) > 100 THEN (SELECT key FROM p WHERE n = 100) END AS next_key FROM p WHERE n <= 100",
+    "store_iterate_pinned": f"{STORE}, n AS (SELECT * FROM (SELECT * FROM j WHERE seq <= 900 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE op = 'put'), p AS (SELECT key, seq, row_number() OVER (ORDER BY key) AS n FROM n WHERE key > 'k-5') SELECT key, seq, CASE WHEN (SELECT max(n) FROM p) > 50 THEN (SELECT key FROM p WHERE n = 50) END AS next_key, 900::BIGINT AS pinned_seq FROM p WHERE n <= 50",
     "store_mutations": f"{STORE} SELECT seq, mutation_id, CASE WHEN row_number() OVER w = 1 THEN 'applied' WHEN digest = first_value(digest) OVER w THEN 'deduplicated' ELSE 'conflict' END AS status FROM j WINDOW w AS (PARTITION BY mutation_id ORDER BY seq)",
     "store_accumulate": f"{STORE} SELECT named, count(*) AS count, sum(amount)::BIGINT AS sum FROM j GROUP BY named",
     "sub_seek_timestamp": f"{WITH} SELECT coalesce(max(pos), 0) AS after_pos FROM feed WHERE ingest_time_ns < {DAY_10}",

@@ -35,11 +35,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back."""
+def store(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back; its path is added to ``paths``."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from keyfold.functions import typed
-from keyfold.operators import indexes, reads, stores
+from keyfold.operators import indexes, reads, stores, subscriptions
 from keyfold.operators.pipes import enrich, strict_store
 from keyfold.plans.declarations import Miss
 from keyfold.streaming.state import Versions, run
@@ -100,6 +100,31 @@ class AppendStream:
         return run(attempts, self.apply, checkpoint)
 
 
+class DelayStream:
+    """Delivery held back by ``delay_ns`` of ingest time: what is due goes to ``out``, the rest is parked, and keys stay in order."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, delay_ns: int):
+        self.path, self.delay_ns = path, delay_ns
+        self.state = Versions(spark, path, {"parked": schema, "clock": "now_ns long"})
+
+    def apply(self, records: DataFrame, batch_id: int) -> None:
+        """The clock is the largest ingest time that was seen."""
+        before = self.state.read("parked", batch_id - 1)
+        row = self.state.read("clock", batch_id - 1).first()
+        now = max(row["now_ns"] if row else 0, records.agg(F.max("ingest_time_ns")).first()[0] or 0)
+        held = before.unionByName(records.select(before.columns))
+        due = subscriptions.delayed(held, now, self.delay_ns)
+        out = f"{self.path}/out/batch={batch_id}"
+        due.select(before.columns).write.mode("overwrite").parquet(out)
+        gone = records.sparkSession.read.schema(before.schema).parquet(out).select("pos")
+        self.state.write("parked", batch_id, held.join(gone, "pos", "left_anti"))
+        self.state.write("clock", batch_id, records.sparkSession.createDataFrame([(now,)], "now_ns long"))
+        self.state.forget(batch_id, ["parked", "clock"])
+
+    def start(self, records: DataFrame, checkpoint: str) -> StreamingQuery:
+        return run(records, self.apply, checkpoint)
+
+
 def copy_store(journal: DataFrame, copy: str, out: str, checkpoint: str) -> StreamingQuery:
     """A copy of a journal: entries keep their order, and each gets a mutation id that follows from the copy and its sequence.
 

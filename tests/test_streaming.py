@@ -2,13 +2,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyfold.functions import typed
-from keyfold.operators import indexes, pipes, stores
+from keyfold.operators import indexes, pipes, stores, subscriptions
 from keyfold.plans.declarations import WindowPipe
 from keyfold.queries import state as state_queries
 from keyfold.sources.feeds import events_feed, positioned, project_events
 from keyfold.sources.shared import new_path, table
 from keyfold.streaming import feeds
-from keyfold.streaming.stores import AppendStream, IndexStream, StoreStream, copy_store, enrich_strictly
+from keyfold.streaming.stores import AppendStream, DelayStream, IndexStream, StoreStream, copy_store, enrich_strictly
 from keyfold.streaming.windows import WindowStream
 
 SF = "/root/testdata/sf0.001"
@@ -165,6 +165,18 @@ def test_append_stream_reports_conflicts(spark):
     assert sorted(r.attempt_no for r in spark.read.parquet(f"{log.path}/conflicts").collect()) == [3, 6]
 
 
+def test_delay_stream_equals_batch(spark):
+    feed = positioned(events_feed(spark, SF)).select("pos", "key", "ingest_time_ns")
+    stream = DelayStream(spark, new_path(spark, "delay"), "pos long, key string, ingest_time_ns long", 50 * HOUR)
+    for i in range(4):
+        stream.apply(feed.where(f"(pos - 1) div 250 = {i}"), i)
+    now = feed.agg(F.max("ingest_time_ns")).first()[0]
+    want = sorted(r.pos for r in subscriptions.delayed(feed, now, 50 * HOUR).collect())
+    got = spark.read.parquet(f"{stream.path}/out").collect()
+    assert sorted(r.pos for r in got) == want and 0 < len(want) < 1000
+    assert sorted([r.pos for r in stream.state.read("parked", 3).collect()] + want) == list(range(1, 1001))
+
+
 def test_strict_enrichment_waits_for_the_store(spark):
     store = StoreStream(spark, new_path(spark, "store"), "seq long, op string, key string, payload string")
     store.apply(spark.createDataFrame([(1, "put", "u1", "one"), (2, "put", "u2", "two")], "seq long, op string, key string, payload string"), 0)
