@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from keyfold.llm import components, mixing, packing, quality_classifier, quality_rules, simhash, token_binary, toxicity, url_filters, vector_dedup, warc
+from keyfold.llm import components, mixing, near_copies, packing, quality_classifier, quality_rules, simhash, token_binary, toxicity, url_filters, vector_dedup, warc
 from keyfold.llm.queries import EXPLICIT, op1_warc, op2_url_filters, op5_vector_dedup, tokenizer_path
 from keyfold.llm.tokenization import Encoder
 from keyfold.sources.shared import new_path, store
@@ -423,6 +423,67 @@ def test_one_of_each_keeps_other_texts_of_an_id(spark):
     assert simhash.one_of_each(d).columns == d.columns
 
 
+def plain_similar(x, y, size=5):
+    """Jaccard similarity of two texts' shingles, as strings."""
+    sides = []
+    for text in (x, y):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sides.append({" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))})
+    return len(sides[0] & sides[1]) / len(sides[0] | sides[1])
+
+
+def near_texts(rng, groups):
+    """Texts and copies of them with a few words changed, added or left out; some only similar by half."""
+    words = [f"{a}{b}{c}" for a in "ab cd ef gh".split() for b in "xyzuvw" for c in ("", "1", "22", "n")]
+    out = []
+    for copies in groups:
+        base = [rng.choice(words) + str(rng.randrange(30)) for _ in range(rng.randint(40, 160))]
+        out.append(" ".join(base))
+        for i in range(copies):
+            own = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 12])):
+                at = rng.randrange(len(own))
+                own[at : at + rng.choice([0, 1])] = [rng.choice(words)] * rng.choice([0, 1, 1])
+            out.append((" " if i % 3 else "\n").join(own).title() if i % 4 == 0 else " ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("hot", [0, 4, 64])
+def test_near_copies_against_brute_force(spark, hot):
+    """Components of all pairs that are near in a fingerprint and similar; crowded entries lose none of them."""
+    rng = random.Random(hot)
+    texts = near_texts(rng, [0] * 20 + [1] * 10 + [3] * 5 + [30, 60]) + ODD
+    rows = [(i, t, "x", 1) for i, t in enumerate(texts)] + [(3, texts[9], "x", 1), (4, texts[4], "x", 1), (None, texts[2], "x", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, `__id` string, id int").repartition(3)
+    prints = [near_copies.bags(t)[1] for _, t, *_ in rows]
+    bits = [int.from_bytes(p, "big") for p in prints]
+
+    def linked(i, j):
+        near = (bits[i] ^ bits[j]).bit_count() <= 11
+        return near and plain_similar(rows[i][1], rows[j][1]) >= 0.8
+
+    n = len(rows) - 1  # the row without an id takes no part
+    comp = grouped(n, linked)
+    groups = {}
+    for i, c in enumerate(comp):
+        groups.setdefault(c, []).append(rows[i][0])
+    got = near_copies.one_of_each(d, hot=hot).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(min(g) for g in groups.values())
+    assert sum(r.doc_id is None for r in got) == 1 and got[0].__fields__ == d.columns
+    exact = grouped(n, lambda i, j: plain_similar(rows[i][1], rows[j][1]) >= 0.8)
+    assert len(set(comp)) - len(set(exact)) <= 2  # what the fingerprints do not meet
+    assert near_copies.one_of_each(d.limit(0)).count() == 0
+
+
+def test_near_copies_split_no_group_at_the_centres(spark):
+    """A chain: each text is similar to the next ones only, so most links do not touch a centre."""
+    words = [f"w{i}" for i in range(300)]
+    d = spark.createDataFrame([(i, " ".join(words[i : i + 100])) for i in range(0, 150)], "doc_id long, text string")
+    assert plain_similar(" ".join(words[:100]), " ".join(words[12:112])) < 0.8
+    for hot in (0, 64):
+        assert [r.doc_id for r in near_copies.one_of_each(d, hot=hot).collect()] == [0]
+
+
 def test_edf_stays_within_one_block():
     rng = random.Random(6)
     for shares in [[1], [1, 1], [4, 3, 3, 2, 2] + [1] * 15, [50, 1, 1], *[[rng.randint(1, 40) for _ in range(rng.randint(2, 12))] for _ in range(20)]]:
@@ -448,6 +509,10 @@ def test_mixing_against_a_plain_schedule(spark, docs):
         out += [(name, x) for x in queues[name][:4]]
         queues[name], t = queues[name][4:], t + 1
     assert [(s, (md5(i), i is None, i or 0)) for i, s, _ in sorted(rows, key=lambda r: r[2])] == out
+    tables = mixing.mix(docs, shares, block_docs=4, max_cells=0)
+    assert tables.columns == got.columns
+    key = ["doc_id", "text", "mix_slot", "mix_position", "mix_on_target"]
+    assert sorted(tables.select(key).collect(), key=repr) == sorted(got.select(key).collect(), key=repr)
     assert mixing.mix(docs.limit(0), shares).count() == 0
     assert mixing.in_order(docs, shares).columns == docs.columns
     with pytest.raises(ValueError):

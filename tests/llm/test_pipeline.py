@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from keyfold.llm import mixing, packing, quality_classifier, quality_rules, simhash
+from keyfold.llm import mixing, packing, quality_classifier, quality_rules
 from keyfold.llm.queries import QUALITY_THRESHOLD, tokenizer_path
 from keyfold.sources.shared import store
 
@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 def plain(spark, sf):
     """Kept documents by plain Python, in the order of their ids."""
-    from test_llm_operators import grouped, plain_fingerprint, plain_measures
+    from test_llm_operators import grouped, plain_measures, plain_similar
 
     docs = pq.read_table(f"{sf}/documents.parquet").to_pylist()
     names = quality_rules.MEASURES
@@ -28,11 +28,16 @@ def plain(spark, sf):
     train = [i for i in x if i in labels and zlib.crc32(str(i).encode()) % 5]
     keep = set(x) if len({labels[i] for i in train}) < 2 else _posterior(x, {i: labels[i] for i in train})
     docs = [d for d in docs if d["doc_id"] in keep]
-    fps = [plain_fingerprint(d["text"]) for d in docs]
-    comp = grouped(len(docs), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2)
+    comp = grouped(len(docs), lambda i, j: plain_similar(docs[i]["text"], docs[j]["text"]) >= 0.8)
     return [docs[i] for i in sorted(set(comp))]
 
 
+def measured(text):
+    from test_llm_operators import plain_measures
+
+    return plain_measures(text)
+
+
 def _rejected(m):
     return (
         m["n_words"] < 20
@@ -79,10 +84,24 @@ def test_pipeline_equals_plain_version(spark):
 def test_stages_take_odd_tables(spark, stage):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = docs.limit(20).unionByName(docs.limit(3)).withColumn("fp", F.lit(1)).withColumn("text", F.when(F.col("doc_id") % 5 != 0, F.col("text")))
+    odd = odd.unionByName(docs.limit(2).select(F.lit(None).cast("long").alias("doc_id"), *docs.columns[1:]).withColumn("fp", F.lit(1)))
+    odd = odd.unionByName(odd.limit(1).withColumn("text", F.repeat("text", 60)))
     out = stage(spark, odd, SF)
-    assert out.count() <= 200
-    if stage is not corpus_pipeline.STAGES[-1][1]:
+    rows, n = out.collect(), odd.count()
+    if stage is corpus_pipeline.STAGES[-1][1]:
+        assert len({(r.doc_id, r.piece, r.start, r.sequence_id, r.offset) for r in rows}) == len(rows)
+        assert sum(r.piece == 0 for r in rows) == n
+    else:
         assert out.columns == odd.columns
+        given = [tuple(r) for r in odd.collect()]
+        assert all(tuple(r) in given for r in rows)
+        if stage is corpus_pipeline.rules:
+            assert rows and not any(_rejected(dict(zip(quality_rules.MEASURES, measured(r.text)))) for r in rows)
+        if stage is corpus_pipeline.near_duplicates:
+            named = [r.doc_id for r in rows if r.doc_id is not None]
+            assert len(named) == len(set(named)) and sum(r.doc_id is None for r in rows) == sum(r[0] is None for r in given)
+        if stage is corpus_pipeline.mix:
+            assert len(rows) == n
     assert stage(spark, odd.limit(0), SF).count() == 0
 
 
