@@ -159,17 +159,17 @@ def fit(
     y: np.ndarray,
     dims: int = 8,
     warm_up: int = 30,
-    rounds: int = 70,
+    rounds: int = 90,
     rate: float = 0.1,
     decay: float = 0.3,
-    min_docs: int = 25,
+    min_share: float = 0.002,
     smoothing: float = 0.02,
     positive_weight: float = 3.0,
     seed: int = 0,
 ) -> Model:
     """Train embeddings and layer jointly with Adam over all of ``texts``.
 
-    n-grams of fewer than ``min_docs`` documents keep a zero vector; ``smoothing``
+    n-grams in less than ``min_share`` of the documents, or in one, keep a zero vector; ``smoothing``
     keeps single wrong labels from being learnt by heart; ``positive_weight``
     makes up for label 1 being rare.
     """
@@ -189,7 +189,7 @@ def fit(
     docs_of = np.zeros(BUCKETS)
     for i, own, grams, first in _by_part(words):
         docs_of += np.bincount(grams, np.repeat(word_docs[i : i + len(own)], _counts(grams, first)), BUCKETS)
-    usual = np.flatnonzero(docs_of >= min(min_docs, 1 + len(y) // 20))
+    usual = np.flatnonzero(docs_of >= max(2, round(min_share * len(y))))
     number = np.full(BUCKETS, -1, np.int32)
     number[usual] = np.arange(len(usual))
     n_grams, parts, owners = np.zeros(n_words), [], []
