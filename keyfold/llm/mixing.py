@@ -15,7 +15,9 @@ task holds a whole source.
 
 Defined results: a null source is a source of its own (share ``default_share``);
 null ids come last in their bucket; repeated rows each get a position of their
-own; an empty table gives an empty result; other columns are carried along
+own, in any order among equals; of two blocks with one deadline the earlier released
+goes first, then the source that sorts first; texts are carried, whatever they are; an
+empty table gives an empty result; other columns are carried along
 unless ``columns`` names those to keep, and one of an added column's name is
 replaced.
 """

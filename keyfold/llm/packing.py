@@ -14,9 +14,11 @@ into segments of ``SEGMENT``, each segment is packed by itself, its sequences co
 after those of the segments before, and inside it by their first piece. A prefix of
 the sequences thus holds a prefix of the pieces, up to one segment.
 
-Defined results: a null text is a document of just the end id; null ids are
-packed like any other; repeated rows are each packed; an empty table gives an
-empty result; other columns are not read.
+Defined results: a null or empty text is a document of just the end id; one of any
+length is cut into pieces, the first of which may be shorter; null ids are packed like
+any other; repeated rows are each packed; pieces of one length are interchangeable, and
+those of equal id, place and checksum take their places in any order; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -6,10 +6,12 @@ shrunk towards the pooled one and towards its diagonal, and its Cholesky factor
 is inverted once. The score is the posterior of class 1 from the difference of
 the two Gaussian log densities (Mahalanobis distances plus log determinants).
 
-Defined results: a null or empty text has zero statistics; repeated rows score
-alike, and a repeated labelled row counts as often; without usable labels of both
-classes every score is the share of label 1 (0.5 without labels); an empty table
-gives an empty result; columns beyond id and text are not read.
+Defined results: a null or empty text has zero statistics; a text of any length is
+measured whole; repeated rows score alike, and a repeated labelled row counts as
+often; where labels of an id differ, the larger one holds; a score of just the
+threshold passes; without usable labels of both classes every score is the share of
+label 1 (0.5 without labels); an empty table gives an empty result; columns beyond id
+and text are not read.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ order. Files are written by Spark's committing text writer, one value a file:
 the format's closing magic is the line separator, so any file system that Spark
 reaches will do, and a task that is lost leaves nothing behind.
 
-Defined results: a null text is empty and still gets its end id; null ids come
-first; rows that repeat an id stay next to each other, ordered by a hash of their text; an empty
+Defined results: a null text is empty and still gets its end id; a text of any length
+is one document of one shard, which may be longer for it; null ids come first; rows
+that repeat an id stay next to each other, ordered by a hash of their text; an empty
 table writes no shard and reads back empty; other columns are not read.
 """
 
