@@ -112,8 +112,8 @@ def _pairs(x: DataFrame, y: DataFrame, unlike: Column | None = None) -> DataFram
     return d.select(F.greatest("x.cid", "y.cid").alias("u"), F.least("x.cid", "y.cid").alias("v")).distinct()
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: float, size: int, id_col: str, text_col: str) -> DataFrame:
-    """The (u, v) whose texts are similar. Only texts that are in a pair are read for it."""
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: float, size: int, id_col: str, text_col: str, repeated: bool) -> DataFrame:
+    """The (u, v) whose texts are similar. Only texts that are in a pair are read for it; ``repeated`` rows are one."""
     pairs = store(pairs, "candidate-pairs")
     wanted = pairs.select(F.col("u").alias("cid")).unionByName(pairs.select(F.col("v").alias("cid"))).distinct()
     wanted = store(classes.join(wanted, "cid").select("cid", "first.id", "first.text_hash"), "candidate-texts")
@@ -124,8 +124,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: floa
             yield pa.record_batch([batch.column(0), pa.array(own, pa.binary())], ["cid", "s"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    texts = texts.join(wanted, ["id", "text_hash"]).select("cid", "text").dropDuplicates(["cid"])
-    sets = store(texts.mapInArrow(cut, "cid long, s binary"), "shingles")
+    sets = texts.join(wanted, ["id", "text_hash"]).select("cid", "text").mapInArrow(cut, "cid long, s binary")
+    sets = store(sets.dropDuplicates(["cid"]) if repeated else sets, "shingles")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,19 +133,27 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: floa
             good = [similarity(a, b) >= least for a, b in zip(*sides)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    d = pairs.join(sets.select(F.col("cid").alias("u"), F.col("s").alias("s_u")), "u").join(sets.select(F.col("cid").alias("v"), F.col("s").alias("s_v")), "v")
+    # merged whatever their size: shingles grow with the documents
+    sides = [sets.select(F.col("cid").alias(c), F.col("s").alias(f"s_{c}")).hint("merge") for c in "uv"]
+    d = pairs.join(sides[0], "u").join(sides[1], "v")
     return store(d.select("u", "v", "s_u", "s_v").mapInArrow(judge, "u long, v long"), "verified-pairs")
 
 
-def links(classes: DataFrame, docs: DataFrame, least: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(u, v) links that connect the stored ``classes`` (cid, a, b, first) as all their links would."""
+def links(
+    classes: DataFrame, docs: DataFrame, least: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, repeated: bool = True
+) -> DataFrame:
+    """(u, v) links that connect the stored ``classes`` (cid, a, b, first) as all their links would.
+
+    ``repeated`` says whether rows of ``docs`` may be equal in id and text.
+    """
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return _verified(pairs, classes, docs, least, size, id_col, text_col)
+        return _verified(pairs, classes, docs, least, size, id_col, text_col, repeated)
 
     held, asked = _keys(classes, False), _keys(classes, True)
     crowded = store(held.groupBy("key").count().where(F.col("count") > hot).select("key"), "hot-entries")
-    found = verified(_pairs(asked, held.join(crowded, "key", "left_anti")))
+    # merged whatever its size: what is held grows with the documents
+    found = verified(_pairs(asked, held.join(crowded, "key", "left_anti").hint("merge")))
     if crowded.isEmpty():
         return found
     crowd = store(held.join(crowded, "key", "left_semi").unionByName(asked.join(crowded, "key", "left_semi")).distinct(), "hot-members")
@@ -166,7 +174,8 @@ def one_of_each(docs: DataFrame, least: float = 0.8, shingle_words: int = 5, id_
     rows = store(_rows(docs, id_col, text_col), "word-bags")
     first = F.min(F.struct("id", "text_hash")).alias("first")
     classes = store(rows.groupBy("cid").agg(first, F.first("a").alias("a"), F.first("b").alias("b")), "text-classes")
-    labels = components(links(classes, docs, least, shingle_words, id_col, text_col, hot))
+    repeated = not rows.groupBy("id", "text_hash").count().where("count > 1").isEmpty()
+    labels = components(links(classes, docs, least, shingle_words, id_col, text_col, hot, repeated))
     group = F.coalesce("component", "cid").alias("group")
     d = classes.join(labels, F.col("cid") == F.col("node"), "left").select("first", group)
     keep = store(d.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.id").alias("__id"), F.col("first.text_hash").alias("__hash")), "kept-rows")
