@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from keyfold.llm import mixing, packing, quality_classifier, quality_rules
+from keyfold.llm import mixing, near_copies, packing, quality_classifier, quality_rules
 from keyfold.llm.queries import QUALITY_THRESHOLD, tokenizer_path
 from keyfold.sources.shared import store
 
@@ -28,7 +28,11 @@ def plain(spark, sf):
     train = [i for i in x if i in labels and zlib.crc32(str(i).encode()) % 5]
     keep = set(x) if len({labels[i] for i in train}) < 2 else _posterior(x, {i: labels[i] for i in train})
     docs = [d for d in docs if d["doc_id"] in keep]
-    comp = grouped(len(docs), lambda i, j: plain_similar(docs[i]["text"], docs[j]["text"]) >= 0.8)
+    bits = [int.from_bytes(near_copies.bags(d["text"])[1], "big") for d in docs]
+    similar = [[i > j and plain_similar(docs[i]["text"], docs[j]["text"]) >= 0.8 for j in range(len(docs))] for i in range(len(docs))]
+    comp = grouped(len(docs), lambda i, j: similar[i][j] and (bits[i] ^ bits[j]).bit_count() <= 11)
+    # what the fingerprints do not meet of all similar pairs: one document here
+    assert len(set(comp)) - len(set(grouped(len(docs), lambda i, j: similar[i][j]))) <= 1
     return [docs[i] for i in sorted(set(comp))]
 
 
